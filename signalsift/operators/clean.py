@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from signalsift.config import telemetry as cfg
 from signalsift.functions.numeric import clip, finite, half_even, ratio
 from signalsift.operators.ordering import ROWS_PER_SLICE, attach, carry_forward
-from signalsift.operators.quantiles import exact_mode, exact_quantiles
+from signalsift.operators.quantiles import exact_modes, exact_quantiles
 
 # --- clipping ----------------------------------------------------------------
 
@@ -134,10 +134,9 @@ def fill_values(df: DataFrame, strategy: Mapping[str, str] = cfg.IMPUTE) -> dict
         for c, (v,) in exact_quantiles(df, medians).items():
             if v is not None:
                 values[c] = v
-    for c, how in strategy.items():
-        if how == "mode" and c in df.columns:
-            top = exact_mode(df, c)
-            values[c] = top[0] if top else 0
+    modes = [c for c, how in strategy.items() if how == "mode" and c in df.columns]
+    if modes:
+        values |= {c: 0 if v is None else v for c, v in exact_modes(df, modes).items()}
     return values
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalsift.functions.numeric import equal_width_bin
@@ -92,13 +92,14 @@ def exact_quantiles(
     return out
 
 
-def exact_mode(df: DataFrame, column: str) -> Row | None:
-    """Most frequent value, the smallest on ties; NULL is no value."""
-    return (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col(column).asc())
-        .limit(1)
-        .first()
+def exact_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Most frequent value of each numeric column, the smallest on ties.
+
+    Values are counted before the shuffle; NULL is no value. One job.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    counts = (
+        df.select(F.inline(cells)).filter("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
     )
+    best = counts.groupBy("c").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v")).collect()
+    return {**dict.fromkeys(columns), **{r["c"]: r["v"] for r in best}}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -110,17 +111,19 @@ def to_floats(df: DataFrame, columns: Sequence[str] = cfg.FLOAT) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("float") for c in present}) if present else df
 
 
-_DATE_LIKE = r"^\s*\d{1,4}-\d"
+_DATE_LIKE = re.compile(r"\s*\d{1,4}-\d")
+_LOOKED_AT = 1000
 
 
 def has_datetime_text(df: DataFrame, column: str = "time_s") -> bool:
-    """Does the column hold dates as text? One aggregate over the column.
-
-    The pattern needs a digit before the hyphen: a negative number is no date.
+    """Does the column hold dates as text? A look at some known values is
+    enough, as a column holds one or the other; values that are neither are
+    passed over. A digit must precede the hyphen: a negative number is no date.
     """
     if column not in df.columns or not isinstance(df.schema[column].dataType, T.StringType):
         return False
-    return bool(df.agg(F.max(F.col(column).rlike(_DATE_LIKE))).first()[0])
+    seen = df.select(column).filter(F.col(column).isNotNull()).head(_LOOKED_AT)
+    return any(_DATE_LIKE.match(row[0]) for row in seen)
 
 
 def relative_seconds(df: DataFrame, column: str = "time_s", scenario: str = "scenario_id") -> DataFrame:

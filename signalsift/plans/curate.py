@@ -12,6 +12,7 @@ from signalsift.operators import clean, schema
 from signalsift.operators.features import feature_table
 from signalsift.operators.ordering import ROWS_PER_SLICE
 from signalsift.operators.windows import add_deltas, add_ratios, count_windows
+from signalsift.session import staged
 
 
 def typed_samples(raw: DataFrame, datetime_time: bool | None = None) -> DataFrame:
@@ -42,12 +43,14 @@ def curate(
     """Raw table → clean table.
 
     Order of steps: types, clip, drop rows without critical values, impute,
-    drop duplicates, project. The result is not sorted; the sink sorts inside
-    its files, which is all later steps profit from.
+    drop duplicates, project. The complete rows are staged once, because the
+    fill values and the sort order are looked up in them before they are used.
+    The result is not sorted; the sink sorts inside its files, which is all
+    later steps profit from.
     """
     typed = clean.clip_ranges(typed_samples(raw, datetime_time))
-    complete = clean.drop_incomplete(typed)
-    keyed, order = row_order(complete, tie_breakers)
+    keyed, order = row_order(clean.drop_incomplete(typed), tie_breakers)
+    keyed = staged(keyed, "complete")
     filled = clean.impute(keyed, order, strategy, values=fill, rows_per_slice=rows_per_slice)
     unique = clean.drop_duplicates(filled.drop("__row_hash"))
     return schema.in_order(unique, columns) if columns else unique

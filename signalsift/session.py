@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that matter to the plans of this package; all are ordinary Spark
 #: SQL settings, so a cluster may override each of them.
@@ -51,3 +52,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="signalsift-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new name in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, what: str = "stage") -> DataFrame:
+    """Write a table to the shared folder and go on from the copy.
+
+    For a table that several jobs read: expensive steps before it run once,
+    later jobs read only their columns, and nothing is lost with an executor.
+    """
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
