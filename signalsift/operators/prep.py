@@ -86,7 +86,8 @@ def fit_preparation(
 ) -> Preparation:
     """Fit on all rows, or on the rows of ``fit_on`` to keep test rows out."""
     rows = df if fit_on is None else df.filter(fit_on)
-    fitted = {r["column"]: (r["mean"], r["scale"]) for r in scaling_stats(rows, numeric).collect()}
+    stats = scaling_stats(rows, numeric).collect() if numeric else []
+    fitted = {r["column"]: (r["mean"], r["scale"]) for r in stats}
     scale = {c: (0.0 if fitted[c][0] is None else fitted[c][0], fitted[c][1]) for c in numeric}
     return Preparation(scale, {c: category_values(rows, c) for c in categorical})
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +23,7 @@ from signalsift.functions.numeric import ratio
 from signalsift.operators.folds import assign_folds, test_part, training_part
 from signalsift.operators.metrics import LABEL, SCORE, rank_metrics
 from signalsift.operators.prep import Preparation, as_stages, fit_preparation
+from signalsift.session import staged
 
 #: Parameters of the configured model that boosted trees in Spark ML do not have.
 WITHOUT_EQUIVALENT = ("reg_alpha", "reg_lambda")
@@ -53,10 +54,10 @@ def positive_weight(df: DataFrame, label: str = cfg.TARGET) -> float:
 def classifier(params: Mapping[str, float], overrides: Mapping[str, object] | None = None) -> GBTClassifier:
     mapped, _ = model_parameters(params)
     mapped.update(overrides or {})
-    return GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight",
-        rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction", **mapped,
+    trees = GBTClassifier(
+        featuresCol="features", labelCol="label", weightCol="weight", predictionCol="__prediction", **mapped
     )
+    return trees.setRawPredictionCol("__raw").setProbabilityCol("__probability")
 
 
 def fit_model(
@@ -86,11 +87,8 @@ def train_all(
     categorical: Sequence[str] = cfg.CATEGORICAL_FEATURES,
 ) -> PipelineModel:
     """The model for production: fitted on all rows."""
-    kept = features.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fit_model(kept, fit_preparation(kept, numeric, categorical), params, overrides)
-    finally:
-        kept.unpersist()
+    rows = staged(features, "features")
+    return fit_model(rows, fit_preparation(rows, numeric, categorical), params, overrides)
 
 
 def held_out_scores(
@@ -102,20 +100,26 @@ def held_out_scores(
     numeric: Sequence[str] = cfg.NUMERIC_FEATURES,
     categorical: Sequence[str] = cfg.CATEGORICAL_FEATURES,
     leak_free: bool = False,
+    parallel: int = 2,
 ) -> DataFrame:
     """Score every row with a model that has not seen its scenario.
 
     Rows keep their features and get ``fold``, ``y_true``, ``y_prob``. The
     preparation is fitted on all rows, as the stored contract wants, or on the
-    training folds only with ``leak_free``.
+    training folds only with ``leak_free``. A table that has folds already is
+    used as it is; otherwise it is staged with its folds, as every fold reads
+    it many times. ``parallel`` folds are trained at a time.
     """
-    rows = assign_folds(features, group, folds).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = features if "fold" in features.columns else staged(assign_folds(features, group, folds), "folds")
     prep = None if leak_free else fit_preparation(rows, numeric, categorical)
-    parts = []
-    for fold in range(1, folds + 1):
+
+    def one(fold: int) -> DataFrame:
         train = training_part(rows, fold)
         fitted = prep or fit_preparation(train, numeric, categorical)
-        parts.append(score(test_part(rows, fold), fit_model(train, fitted, params, overrides)))
+        return score(test_part(rows, fold), fit_model(train, fitted, params, overrides))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        parts = list(pool.map(one, range(1, folds + 1)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -177,7 +181,7 @@ def search(
     """Trial table (trial, score, fold_std, params). A trial that fails has a
     NULL score and does not stop the search."""
     spark = features.sparkSession
-    rows = features.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = staged(assign_folds(features, folds=folds), "folds")
     results = []
     for number, params in enumerate(draw(space, trials, seed)):
         try:
@@ -188,7 +192,6 @@ def search(
             print(f"trial {number} failed: {problem}")
             found = (None, None)
         results.append((number, *found, {k: float(v) for k, v in params.items()}))
-    rows.unpersist()
     return spark.createDataFrame(results, "trial int, score double, fold_std double, params map<string,double>")
 
 
