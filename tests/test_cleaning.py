@@ -16,7 +16,7 @@ from signalsift.operators.quantiles import exact_modes, exact_quantiles
 from signalsift.plans import curate as plan
 
 NAN, INF = float("nan"), float("inf")
-SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+SLOW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def test_half_even(spark):

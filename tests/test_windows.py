@@ -18,7 +18,7 @@ from signalsift.operators import features, ordering, windows
 from signalsift.plans.curate import featurize, windowed
 from signalsift.plans.surrogate import LINEITEM_ORDER, telemetry_lineitem
 
-SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+SLOW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def samples(spark, sizes: dict[str, int], **columns):
