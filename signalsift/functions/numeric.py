@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 
 def finite(c: Column) -> Column:
-    """NaN and infinities become NULL, so that aggregates skip them."""
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
+    """NaN and infinities become NULL, so that aggregates skip them.
+
+    NaN is larger than any number in Spark, so one comparison covers both.
+    """
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+
+def clip(c: Column, low: Column | float, high: Column | float) -> Column:
+    """Limit to [low, high]; NULL stays NULL (``least``/``greatest`` alone skip it)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, _column(low)), _column(high)))
 
 
-def clip(c: Column, low: float, high: float) -> Column:
-    """Limit to [low, high]; NULL stays NULL (``least``/``greatest`` would not)."""
-    return F.when(c < low, low).when(c > high, high).otherwise(c)
+def _column(value: Column | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
 
 
 def half_even(c: Column) -> Column:
@@ -58,8 +65,7 @@ def steps_reached(c: Column, edges: Sequence[float], inclusive: bool = True) ->
 
 def equal_width_bin(c: Column, low: Column | float, high: Column | float, bins: int) -> Column:
     """Bin 0 … bins-1 of a value in [low, high]; the top edge is in the last bin."""
-    low = low if isinstance(low, Column) else F.lit(float(low))
-    high = high if isinstance(high, Column) else F.lit(float(high))
+    low, high = _column(low), _column(high)
     place = F.floor(ratio(c - low, high - low) * bins)
     return F.when(c.isNull(), None).otherwise(
         F.greatest(F.lit(0), F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1))).cast("int")

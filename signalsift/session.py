@@ -17,6 +17,9 @@ SETTINGS = {
     # mode() and percentile() run in object hash aggregates, which turn to
     # sorting after 128 keys per task by default.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
+    # The JVM does not compile methods of more than 8000 bytecodes. A generated
+    # stage beyond that would be interpreted; its operators one by one are not.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
