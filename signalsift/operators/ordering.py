@@ -10,7 +10,8 @@ materialised copy is involved, so a lost executor changes nothing.
 
 Within a slice an ordinary window function does the work. What a slice needs
 to know about earlier slices (rows before it, a running total, the last known
-value) comes from one aggregate row per slice.
+value) comes from one aggregate row per slice, which joins the slice as its
+first row.
 
 Row order is ``order``: numeric, date or timestamp columns, ascending, NULL
 first, the last of them a tie-breaker.
@@ -23,10 +24,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalsift.session import staged
+
 #: Rows of one group that one task is asked to sort.
 ROWS_PER_SLICE = 2_000_000
 #: Most entries of one refinement level; the target grows if more were needed.
@@ -48,17 +51,20 @@ def _as_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"order column {name} must be numeric, date or timestamp, not {kind.simpleString()}")
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality of all keys, NULL equal to NULL (still a hash or merge join)."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    """Equality of all keys with their prefixed copies, NULL equal to NULL."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Left join of per-key columns. Spark broadcasts the right side only when
-    its size allows it."""
-    renamed = small.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *columns)
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
-    return df.join(renamed, on, "left").drop(*[f"__k_{k}" for k in keys])
+    """Left join of per-group columns to the rows of the groups.
+
+    The per-group table is staged first: Spark then knows its size and
+    broadcasts it if it is below the broadcast threshold. If it is not, the
+    join is a merge join, whose hot groups adaptive execution splits.
+    """
+    renamed = staged(small.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *columns), "groups")
+    return df.join(renamed, _same(keys, "__k_"), "left").drop(*[f"__k_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
@@ -85,14 +91,8 @@ class SlicePlan:
     def _cut(self, df: DataFrame, depth: int) -> DataFrame:
         """Add one level: rows of a hot key get the number of their range."""
         keys = [*self.by, *[f"__slice{i}" for i in range(depth)]]
-        hot = self.levels[depth]
-        if keys:
-            on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
-            # at most MAX_HOT_GROUPS rows
-            joined = df.join(F.broadcast(hot), on, "left")
-        else:  # the whole table is one group: one row of literals
-            row = hot.first()
-            joined = df.withColumns({c: F.lit(row[c]).cast(hot.schema[c].dataType) for c in hot.columns})
+        hot = F.broadcast(self.levels[depth])  # at most MAX_HOT_GROUPS rows
+        joined = df.join(hot, _same(keys, "__h_"), "left")
         place = F.lit(None).cast("long")
         for i, name in reversed(list(enumerate(self.order))):
             value = _as_number(df, name)
@@ -130,6 +130,8 @@ def plan_slices(
 ) -> SlicePlan:
     """Find the groups of ``by`` with more than ``rows_per_slice`` rows and
     ranges of ``order`` that cut them, with one small aggregate for a level."""
+    if not by:
+        raise ValueError("slices need at least one grouping column")
     by, order = tuple(by), tuple(order)
     thin = df.select(*dict.fromkeys([*by, *order]))
     sizes = thin.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -162,24 +164,43 @@ def plan_slices(
         # Only rows of hot keys are looked at again.
         plan.levels.append(level)
         hot = level.select(*[F.col(f"__h_{k}") for k in keys])
-        if keys:
-            on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
-            current = current.join(F.broadcast(hot), on, "left_semi")
-        current = plan._cut(current, depth)
+        current = plan._cut(current.join(F.broadcast(hot), _same(keys, "__h_"), "left_semi"), depth)
     return plan
 
 
-def _offsets(slices: DataFrame, plan: SlicePlan, columns: dict[str, str]) -> DataFrame:
-    """Exclusive running sums over the slices of a group: one row per slice."""
-    before = (
+def _before(plan: SlicePlan) -> WindowSpec:
+    """All earlier slices of the group; a window over one row per slice."""
+    return (
         Window.partitionBy(*plan.by)
         .orderBy(*plan.slice_columns)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return slices.select(
-        *plan.keys,
-        *[F.coalesce(F.sum(src).over(before), F.lit(0)).alias(out) for src, out in columns.items()],
+
+
+def _seeded(sliced: DataFrame, seeds: DataFrame, plan: SlicePlan) -> tuple[DataFrame, WindowSpec]:
+    """Put what a slice must know of earlier ones in front of it, as a row.
+
+    A union instead of a join: rows and seeds meet in the one shuffle the
+    window needs anyway, whatever the number of slices.
+    """
+    both = sliced.withColumn("__row", F.lit(1)).unionByName(
+        seeds.withColumn("__row", F.lit(0)), allowMissingColumns=True
     )
+    inside = (
+        Window.partitionBy(*plan.keys)
+        .orderBy("__row", *plan.order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return both, inside
+
+
+def _without_seeds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.filter(F.col("__row") == 1).select(*columns)
+
+
+def _by(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Grouping columns; the whole table is one group of a constant."""
+    return (df, list(by)) if by else (df.withColumn("__all", F.lit(0)), ["__all"])
 
 
 def number_rows(
@@ -190,20 +211,16 @@ def number_rows(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """1-based position of each row in its group."""
+    columns = [*df.columns, out]
+    df, by = _by(df, by)
     plan = plan_slices(df, by, order, rows_per_slice)
-    inside = Window.partitionBy(*plan.keys).orderBy(*order)
     if not plan.levels:
-        return df.withColumn(out, F.row_number().over(inside).cast("long"))
-    sliced = plan.apply(df)
-    sizes = plan.apply(df.select(*dict.fromkeys([*by, *order]))).groupBy(*plan.keys).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    offsets = _offsets(sizes, plan, {"__n": "__before"})
-    return (
-        attach(sliced, offsets, plan.keys, ["__before"])
-        .withColumn(out, F.row_number().over(inside) + F.col("__before"))
-        .drop("__before", *plan.slice_columns)
-    )
+        inside = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(inside).cast("long")).select(*columns)
+    sizes = plan.apply(df).groupBy(*plan.keys).agg(F.count(F.lit(1)).alias("__n"))
+    seeds = sizes.select(*plan.keys, F.coalesce(F.sum("__n").over(_before(plan)), F.lit(0)).alias("__step"))
+    both, inside = _seeded(plan.apply(df).withColumn("__step", F.lit(1).cast("long")), seeds, plan)
+    return _without_seeds(both.withColumn(out, F.sum("__step").over(inside)), columns)
 
 
 def running_sums(
@@ -214,23 +231,18 @@ def running_sums(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Inclusive running totals, ``columns`` maps input to output names."""
+    result = [*df.columns, *columns.values()]
+    df, by = _by(df, by)
     plan = plan_slices(df, by, order, rows_per_slice)
-    inside = (
-        Window.partitionBy(*plan.keys)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    sums = {out: F.sum(src).over(inside) for src, out in columns.items()}
     if not plan.levels:
-        return df.withColumns(sums)
-    sliced = plan.apply(df)
-    totals = sliced.groupBy(*plan.keys).agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
-    offsets = _offsets(totals, plan, {f"__t_{c}": f"__o_{c}" for c in columns})
-    names = [f"__o_{c}" for c in columns]
-    return (
-        attach(sliced, offsets, plan.keys, names)
-        .withColumns({out: sums[out] + F.col(f"__o_{src}") for src, out in columns.items()})
-        .drop(*names, *plan.slice_columns)
+        inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({out: F.sum(src).over(inside) for src, out in columns.items()}).select(*result)
+    totals = plan.apply(df).groupBy(*plan.keys).agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
+    seeds = totals.select(*plan.keys, *[F.sum(f"__t_{c}").over(_before(plan)).alias(f"__x_{c}") for c in columns])
+    steps = plan.apply(df).withColumns({f"__x_{c}": F.col(c) for c in columns})
+    both, inside = _seeded(steps, seeds, plan)
+    return _without_seeds(
+        both.withColumns({out: F.sum(f"__x_{src}").over(inside) for src, out in columns.items()}), result
     )
 
 
@@ -242,34 +254,22 @@ def carry_forward(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Fill NULL with the last known value of the group."""
+    result = list(df.columns)
+    df, by = _by(df, by)
     plan = plan_slices(df, by, order, rows_per_slice)
-    inside = (
-        Window.partitionBy(*plan.keys)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     if not plan.levels:
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
-    sliced = plan.apply(df)
+        inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).select(*result)
     place = F.struct(*order)
-    ends = sliced.groupBy(*plan.keys).agg(
+    ends = plan.apply(df).groupBy(*plan.keys).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__e_{c}") for c in columns]
     )
-    before = (
-        Window.partitionBy(*plan.by)
-        .orderBy(*plan.slice_columns)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = ends.select(
-        *plan.keys, *[F.last(f"__e_{c}", ignorenulls=True).over(before).alias(f"__c_{c}") for c in columns]
+    seeds = ends.select(
+        *plan.keys, *[F.last(f"__e_{c}", ignorenulls=True).over(_before(plan)).alias(c) for c in columns]
     )
-    names = [f"__c_{c}" for c in columns]
-    return (
-        attach(sliced, carried, plan.keys, names)
-        .withColumns(
-            {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"__c_{c}")) for c in columns}
-        )
-        .drop(*names, *plan.slice_columns)
+    both, inside = _seeded(plan.apply(df), seeds, plan)
+    return _without_seeds(
+        both.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}), result
     )
 
 
