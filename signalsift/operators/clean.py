@@ -153,28 +153,35 @@ def fill_forward(
     order: Sequence[str],
     scenario: str = "scenario_id",
     rows_per_slice: int = ROWS_PER_SLICE,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Last known value of the scenario."""
+    """Last known value of the scenario; ``known`` as in ``carry_forward``."""
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
-    return carry_forward(df, [scenario], order, present, rows_per_slice)
+    return carry_forward(df, [scenario], order, present, rows_per_slice, known)
 
 
 def fill_backward(
-    df: DataFrame, columns: Sequence[str], order: Sequence[str], scenario: str = "scenario_id"
+    df: DataFrame,
+    columns: Sequence[str],
+    order: Sequence[str],
+    scenario: str = "scenario_id",
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Next known value, over the whole table in scenario order.
 
     Meant to follow :func:`fill_forward`: what is still missing then leads its
     scenario, so the fill is the first known value of the scenario, or of the
-    next scenario that has one. Both come from one row per scenario.
+    next scenario that has one. Both come from one row per scenario. The first
+    known value is the same before the forward fill, so ``known`` may be the
+    table as it was then.
     """
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
     place = F.struct(*order)
-    firsts = df.groupBy(scenario).agg(
+    firsts = (df if known is None else known).groupBy(scenario).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__f_{c}") for c in present]
     )
     # One row per scenario, not per sample.
@@ -197,14 +204,16 @@ def impute(
     scenario: str = "scenario_id",
     values: Mapping[str, float] | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """All fills: constants first, then forward and backward in one pass each."""
-    values = fill_values(df, strategy) if values is None else values
+    known = df if known is None else known
+    values = fill_values(known, strategy) if values is None else values
     carried = [c for c, how in strategy.items() if how == "ffill" and c in df.columns]
     df = fill_constants(df, values)
     if carried:
-        df = fill_forward(df, carried, order, scenario, rows_per_slice)
-        df = fill_backward(df, carried, order, scenario)
+        df = fill_forward(df, carried, order, scenario, rows_per_slice, known)
+        df = fill_backward(df, carried, order, scenario, known)
     return df
 
 

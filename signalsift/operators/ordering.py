@@ -252,16 +252,22 @@ def carry_forward(
     order: Sequence[str],
     columns: Sequence[str],
     rows_per_slice: int = ROWS_PER_SLICE,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Fill NULL with the last known value of the group."""
+    """Fill NULL with the last known value of the group.
+
+    ``known`` is a cheaper table to look the slices and last values up in:
+    one with the same order keys and values, but for repeated rows.
+    """
     result = list(df.columns)
-    df, by = _by(df, by)
-    plan = plan_slices(df, by, order, rows_per_slice)
+    source, by = _by(df if known is None else known, by)
+    df, by = _by(df, by if by != ["__all"] else ())
+    plan = plan_slices(source, by, order, rows_per_slice)
     if not plan.levels:
         inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).select(*result)
     place = F.struct(*order)
-    ends = plan.apply(df).groupBy(*plan.keys).agg(
+    ends = plan.apply(source).groupBy(*plan.keys).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__e_{c}") for c in columns]
     )
     seeds = ends.select(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from signalsift.functions.numeric import equal_width_bin
 
 #: Values of one column that one task may hold.
-SMALL = 4_000_000
+SMALL = 1_000_000
 BINS = 2048
 
 

@@ -45,13 +45,17 @@ def curate(
     Order of steps: types, clip, drop rows without critical values, impute,
     drop duplicates, project. The complete rows are staged once, because the
     fill values and the sort order are looked up in them before they are used.
+    Exact copies already go before the fill, which treats them alike: a row
+    that is repeated very often is merged before any shuffle and never sorted.
     The result is not sorted; the sink sorts inside its files, which is all
     later steps profit from.
     """
     typed = clean.clip_ranges(typed_samples(raw, datetime_time))
     keyed, order = row_order(clean.drop_incomplete(typed), tie_breakers)
     keyed = staged(keyed, "complete")
-    filled = clean.impute(keyed, order, strategy, values=fill, rows_per_slice=rows_per_slice)
+    filled = clean.impute(
+        clean.drop_duplicates(keyed), order, strategy, values=fill, rows_per_slice=rows_per_slice, known=keyed
+    )
     unique = clean.drop_duplicates(filled.drop("__row_hash"))
     return schema.in_order(unique, columns) if columns else unique
 

@@ -97,7 +97,7 @@ def test_mode_tie_takes_the_smallest(spark):
     assert clean.fill_values(empty, {"mcs_dl": "mode"}) == {"mcs_dl": 0}
 
 
-@pytest.mark.parametrize("small", [4_000_000, 3])
+@pytest.mark.parametrize("small", [1_000_000, 3])
 def test_exact_quantiles(spark, small):
     source = random.Random(3)
     values = [source.choice([0.0, 7.25, source.gauss(0, 1), source.uniform(-1e6, 1e6)]) for _ in range(301)]
@@ -175,3 +175,15 @@ def test_raw_to_clean(spark):
 def test_missing_required_column_stops_curation(spark):
     with pytest.raises(ValueError, match="sinr_db"):
         plan.curate(spark.createDataFrame([("0", "1", "1", "1", "0")], "Time string, PCI string, RSRP string, RSRQ string, lab_anom string"))
+
+
+def test_a_row_repeated_for_a_third_of_the_table(spark):
+    """Copies are merged before the fill; the result is that of filling all rows."""
+    data = [("s", str(i / 2), "1", "-80", "-5", "20", None if i % 3 else str(i), "0") for i in range(60)]
+    data += [data[7]] * 30
+    raw = spark.createDataFrame(
+        data, "scenario_id string, Time string, PCI string, RSRP string, RSRQ string, SINR string, throughput_DL string, lab_anom string"
+    )
+    for rows_per_slice in (10**6, 8):
+        got = rows(plan.curate(raw, rows_per_slice=rows_per_slice).select("time_s", "app_dl_mbps"))
+        assert got == sorted(((i / 2, float(i - i % 3)) for i in range(60)), key=lambda t: tuple((False, str(v)) for v in t))
