@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from signalsift.session import staged
 
 #: Rows of one group that one task is asked to sort.
-ROWS_PER_SLICE = 2_000_000
+ROWS_PER_SLICE = 1_000_000
 #: Most entries of one refinement level; the target grows if more were needed.
 MAX_HOT_GROUPS = 50_000
 _LEAST_SPLIT = 64

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
 #: Fitting trees on all rows is covered by the model tests.
-MODELS = {"t4_held_out_scores", "t6_final_model", "t19_feature_importance", "x4_alerts", "o1_parameter_search"}
+MODELS = {"t4_held_out_scores", "t6_final_model", "t19_feature_importance", "x4_alerts", "o1_parameter_search", "o5_refit_best"}
 
 
 @pytest.fixture(scope="module")
