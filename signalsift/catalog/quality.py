@@ -13,6 +13,7 @@ from signalsift.catalog.windows import RESULT_DOUBLES, RESULT_OTHERS, event_coun
 from signalsift.config import telemetry as cfg
 from signalsift.operators import combine, profile, rules
 from signalsift.plans.surrogate import load, telemetry_events, telemetry_lineitem
+from signalsift.session import staged
 
 CHECKED = ["row_id", "scenario_id", "ts_ns", "pci", "rsrp_dbm", "rsrq_db", "sinr_db", "mcs_dl", "mcs_ul", "prb_dl",
            "prb_ul", "app_dl_mbps", "app_ul_mbps", "lab_anom", "lab_inf"]
@@ -375,7 +376,7 @@ def _(spark, folder):
 
 @query("g3_histogram_windows", asked(q.WIN, _histogram_sql("win", ["sinr_mean", "sinr_std", "app_dl_mean", "gap_ratio_x"], 50).replace("gap_ratio_x", "d_sinr_mean"), *_HIST))
 def _(spark, folder):
-    return rounded(profile.histogram(event_table(spark, folder), ["sinr_mean", "sinr_std", "app_dl_mean", "d_sinr_mean"], 50))
+    return rounded(profile.histogram(staged(event_table(spark, folder)), ["sinr_mean", "sinr_std", "app_dl_mean", "d_sinr_mean"], 50))
 
 
 _BOX = list(cfg.CRITICAL_FEATURES[:4])
@@ -443,7 +444,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return rounded(profile.window_series(event_counts(spark, folder)))
+    return rounded(profile.window_series(staged(event_counts(spark, folder))))
 
 
 _QUART = ["prb_dl", "app_dl_mbps"]
@@ -526,7 +527,7 @@ def _(spark, folder):
     asked(q.WIN, "SELECT scenario_id, ts_start_ns, sinr_mean, weak_label FROM win", ["sinr_mean"], ["scenario_id", "ts_start_ns", "weak_label"]),
 )
 def _(spark, folder):
-    made = event_counts(spark, folder)
+    made = staged(event_counts(spark, folder))
     keys = list(combine.WINDOW_KEY)
     return rounded(combine.join_by_key(made.select(*keys, "sinr_mean"), made.select(*keys, "weak_label")))
 

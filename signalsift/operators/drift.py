@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalsift.config import telemetry as cfg
@@ -40,11 +40,11 @@ def population_stability(
             F.count_if(F.col("side") == "current").alias("c"),
         )
     )
-    sums = counts.groupBy("column").agg(F.sum("r").alias("rs"), F.sum("c").alias("cs"))
-    shares = counts.join(F.broadcast(sums), "column").select(
+    whole = Window.partitionBy("column")  # over at most ``bins`` rows
+    shares = counts.select(
         "column",
-        F.greatest(F.try_divide(F.col("r"), F.col("rs")), F.lit(floor)).alias("r"),
-        F.greatest(F.try_divide(F.col("c"), F.col("cs")), F.lit(floor)).alias("c"),
+        F.greatest(F.try_divide(F.col("r"), F.sum("r").over(whole)), F.lit(floor)).alias("r"),
+        F.greatest(F.try_divide(F.col("c"), F.sum("c").over(whole)), F.lit(floor)).alias("c"),
     )
     index = F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r")))
     return shares.groupBy("column").agg(index.alias("psi"), (index > limit).alias("drifted"))

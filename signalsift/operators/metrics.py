@@ -9,6 +9,7 @@ that table is ordered, in slices if it is still large.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from signalsift.functions import rates
 from signalsift.functions.grades import separation_grade
 from signalsift.functions.numeric import ratio, steps_reached
 from signalsift.operators.ordering import ROWS_PER_SLICE, running_sums
+from signalsift.session import staged
 
 LABEL, SCORE = "y_true", "y_prob"
 
@@ -129,8 +131,11 @@ def score_counts(df: DataFrame, by: Sequence[str] = (), digits: int | None = Non
 def ranked_scores(
     df: DataFrame, by: Sequence[str] = (), digits: int | None = None, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
-    """Distinct scores from the highest down with running counts tp and fp."""
-    counts = score_counts(df, by, digits).withColumn("__down", -F.col(SCORE))
+    """Distinct scores from the highest down with running counts tp and fp.
+
+    The scores are staged: planning and ranking read them, not the rows.
+    """
+    counts = staged(score_counts(df, by, digits), "scores").withColumn("__down", -F.col(SCORE))
     return running_sums(counts, by, ["__down"], {"pos": "tp", "neg": "fp"}, rows_per_slice).drop("__down")
 
 
@@ -152,22 +157,29 @@ def rank_metrics(
     )
 
 
+def _class_totals(ranked: DataFrame) -> tuple[Column, Column]:
+    """Positives and negatives of the table, from its distinct scores."""
+    row = ranked.agg(F.sum("pos"), F.sum("neg")).first()
+    return F.lit(row[0]).cast("long"), F.lit(row[1]).cast("long")
+
+
 def roc_points(df: DataFrame) -> DataFrame:
     """Curve points (threshold, fpr, tpr) from (0, 0) with an infinite threshold on."""
     r = ranked_scores(df)
-    totals = r.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    p, n = totals.select("p").scalar(), totals.select("n").scalar()
+    p, n = _class_totals(r)
     points = r.select(
         F.col(SCORE).alias("threshold"), ratio(F.col("fp"), n).alias("fpr"), ratio(F.col("tp"), p).alias("tpr")
     )
-    start = totals.select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    start = df.sparkSession.range(1).select(
+        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+    )
     return start.unionByName(points)
 
 
 def precision_recall_points(df: DataFrame) -> DataFrame:
     """Curve points (threshold, precision, recall) per distinct score."""
     r = ranked_scores(df)
-    p = r.agg(F.sum("pos")).scalar()
+    p, _ = _class_totals(r)
     return r.select(
         F.col(SCORE).alias("threshold"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -183,8 +195,6 @@ def score_metrics(df: DataFrame, threshold: float, by: Sequence[str] = ()) -> Da
         for part in parts[1:]:
             out = out.join(part, list(by))
         return out
-    from functools import reduce
-
     tagged = [p.withColumn("__one", F.lit(1)) for p in parts]
     return reduce(lambda a, b: a.join(b, "__one"), tagged).drop("__one")
 

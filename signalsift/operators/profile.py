@@ -112,9 +112,9 @@ def dataset_size(df: DataFrame, source: str = "source_file") -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Count and share of each value. The total is summed over the counts."""
+    """Count and share of each value. The total needs no column of the table."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    total = df.agg(F.count(F.lit(1))).scalar()
     return counts.select(column, "n", ratio(F.col("n"), total).alias("share"))
 
 
