@@ -53,7 +53,7 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
     if not line:
         warnings.warn(f"{path} skipped: no header line", stacklevel=2)
         return None
-    return tuple(next(csv.reader(io.StringIO(line.lstrip("﻿")))))
+    return tuple(next(csv.reader(io.StringIO(line.lstrip("\ufeff")))))
 
 
 def _stem(column: str = "_metadata.file_name") -> F.Column:
