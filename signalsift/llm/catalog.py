@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from signalsift.llm.shards import op9_sharding
 from signalsift.llm.urls import CONTRACT_SQL as URL_SQL
 from signalsift.llm.urls import op7_url_filter
 
 QUERIES = {
     "op7_url_filter": op7_url_filter,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES = {
