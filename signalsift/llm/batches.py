@@ -31,6 +31,18 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Bounds of the runs of rows with equal keys."""
+    changed = np.zeros(max(table.num_rows - 1, 0), bool)
+    for key in keys:
+        column = table.column(key).combine_chunks()
+        changed |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+        if column.null_count:
+            nulls = column.is_null().to_numpy(zero_copy_only=False)
+            changed |= nulls[1:] != nulls[:-1]
+    return np.concatenate([[0], np.flatnonzero(changed) + 1, [table.num_rows]])
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Batches sorted by ``keys`` as tables of whole groups, with the groups' bounds.
 
@@ -38,31 +50,20 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
     Memory is that of a batch and of the largest group.
     """
     held: list[pa.RecordBatch] = []
-
-    def bounds(table: pa.Table) -> np.ndarray:
-        changed = np.zeros(table.num_rows - 1, bool)
-        for key in keys:
-            column = table.column(key).combine_chunks()
-            changed |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
-            if column.null_count:
-                nulls = column.is_null().to_numpy(zero_copy_only=False)
-                changed |= nulls[1:] != nulls[:-1]
-        return np.concatenate([[0], np.flatnonzero(changed) + 1, [table.num_rows]])
-
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         last = pa.Table.from_batches([batch])
-        if len(bounds(last)) == 2 and len(held) > 1 and all(
+        if len(changes(last, keys)) == 2 and len(held) > 1 and all(
             held[0].column(k)[0] == last.column(k)[0] for k in keys
         ):
             continue
         table = pa.Table.from_batches(held)
-        cuts = bounds(table)
+        cuts = changes(table, keys)
         if len(cuts) > 2:
             yield table.slice(0, int(cuts[-2])), cuts[:-1]
         held = table.slice(int(cuts[-2])).to_batches()
     if held:
         table = pa.Table.from_batches(held)
-        yield table, bounds(table)
+        yield table, changes(table, keys)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from signalsift.llm.chat import op2_chat_formatting
 from signalsift.llm.packing import op3_best_fit_packing
 from signalsift.llm.shards import op9_sharding
 from signalsift.llm.urls import CONTRACT_SQL as URL_SQL
 from signalsift.llm.urls import op7_url_filter
 
 QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_url_filter": op7_url_filter,
     "op9_sharding": op9_sharding,
