@@ -5,16 +5,26 @@ from __future__ import annotations
 from signalsift.llm.chat import op2_chat_formatting
 from signalsift.llm.packing import op3_best_fit_packing
 from signalsift.llm.shards import op9_sharding
+from signalsift.llm.shipping import ship
 from signalsift.llm.urls import CONTRACT_SQL as URL_SQL
 from signalsift.llm.urls import op7_url_filter
+from signalsift.llm.vectors import op5_embedding_near_dedup
 
-QUERIES = {
+
+def _shipped(run):
+    return lambda spark, folder: run(ship(spark), folder)
+
+
+_RUNS = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op9_sharding": op9_sharding,
 }
 
+QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
+
 ORACLES = {
     "op7_url_filter": URL_SQL,
 }
