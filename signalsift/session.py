@@ -75,4 +75,14 @@ def staged(df: DataFrame, what: str = "stage") -> DataFrame:
     """
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    copy.staged_path = path
+    return copy
+
+
+def released(*copies: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for copy in copies:
+        spark = copy.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(copy.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
