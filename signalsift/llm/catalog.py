@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from signalsift.llm.chat import op2_chat_formatting
+from signalsift.llm.jaccard import op8_jaccard_join
 from signalsift.llm.packing import op3_best_fit_packing
 from signalsift.llm.shards import op9_sharding
 from signalsift.llm.shipping import ship
@@ -20,6 +21,7 @@ _RUNS = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
 }
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Pieces kept by a worker; beyond it, the oldest knowledge is forgotten at once.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 
 #: Pieces of printable Latin characters have stable classes and no combining
 #: marks, so they are split here; all others by the tokenizer's own steps.
