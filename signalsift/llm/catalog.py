@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from signalsift.llm.chat import op2_chat_formatting
+from signalsift.llm.contamination import op10_benchmark_decontamination
 from signalsift.llm.jaccard import op8_jaccard_join
 from signalsift.llm.packing import op3_best_fit_packing
 from signalsift.llm.shards import op9_sharding
@@ -23,6 +24,7 @@ _RUNS = {
     "op7_url_filter": op7_url_filter,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
