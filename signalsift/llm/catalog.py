@@ -8,6 +8,7 @@ from signalsift.llm.jaccard import op8_jaccard_join
 from signalsift.llm.packing import op3_best_fit_packing
 from signalsift.llm.shards import op9_sharding
 from signalsift.llm.shipping import ship
+from signalsift.llm.toxicity import op4_toxicity
 from signalsift.llm.urls import CONTRACT_SQL as URL_SQL
 from signalsift.llm.urls import op7_url_filter
 from signalsift.llm.vectors import op5_embedding_near_dedup
@@ -20,6 +21,7 @@ def _shipped(run):
 _RUNS = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_jaccard_join": op8_jaccard_join,
