@@ -23,19 +23,20 @@ in a worker.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalsift.llm.batches import slices, text_bytes
 
 #: Labelled documents that training reads at most, of each label: those with the smallest hash.
-TRAINING_TOXIC, TRAINING_CLEAN = 1500, 3000
+TRAINING_TOXIC, TRAINING_CLEAN = 1000, 2000
 LANDMARKS = 256
 ROUNDS = 4
 DECAY = 0.5
@@ -73,16 +74,16 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def units_of(word: str) -> list[tuple[int, ...]]:
+def units_of(word: str) -> list[bytes]:
     """The units of a word: its letters' codes between a start and an end mark, long ones in overlapping pieces."""
     word = _LOOKS.sub(lambda m: LOOKALIKES[m[0]], word.lower())
     codes = [c for c in map(_CODES.__getitem__, word) if c]
     if len(codes) < 3:
         return []
-    codes = [_START, *codes, _END]
+    codes = bytes([_START, *codes, _END])
     if len(codes) <= UNIT:
-        return [tuple(codes)]
-    return [tuple(codes[i : i + UNIT]) for i in range(0, len(codes) - UNIT // 2, UNIT // 2)]
+        return [codes]
+    return [codes[i : i + UNIT] for i in range(0, len(codes) - UNIT // 2, UNIT // 2)]
 
 
 def _words(text: str) -> list[str]:
@@ -93,12 +94,12 @@ def _words(text: str) -> list[str]:
     return found
 
 
-def features(units: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Subsequences of all units: unit, number of the subsequence, weight; repeats summed, each unit of length 1."""
     n = len(units)
     lengths = np.fromiter(map(len, units), np.int64, n)
     held = np.zeros((n, UNIT + 6), np.int64)
-    held[np.arange(UNIT + 6)[None, :] < lengths[:, None]] = np.fromiter((c for u in units for c in u), np.int64, int(lengths.sum()))
+    held[np.arange(UNIT + 6)[None, :] < lengths[:, None]] = np.frombuffer(b"".join(units), np.uint8)
     rows, keys, weights = [], [], []
     for a, b in _STEPS:
         key = (held[:, :UNIT] * _SYMBOLS + held[:, a : UNIT + a]) * _SYMBOLS + held[:, a + b : UNIT + a + b]
@@ -116,11 +117,44 @@ def features(units: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.n
     return row, key, weight / norm[row]
 
 
-def varied(unit: tuple[int, ...], random: np.random.Generator) -> list[tuple[int, ...]]:
+class _Known:
+    """The subsequences of many units, kept small: 16-bit numbers and 32-bit weights."""
+
+    CHUNK = 10_000
+
+    def __init__(self, units: list[bytes]):
+        keys, weights, sizes = [], [], []
+        for at in range(0, len(units), self.CHUNK):
+            part = units[at : at + self.CHUNK]
+            row, key, weight = features(part)
+            keys.append(key.astype(np.uint16))
+            weights.append(weight.astype(np.float32))
+            sizes.append(np.bincount(row, minlength=len(part)))
+        self.key, self.weight = np.concatenate(keys), np.concatenate(weights)
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def dense(self, chosen: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(chosen), _SYMBOLS**3), np.float32)
+        for i, u in enumerate(chosen):
+            place = slice(self.starts[u], self.starts[u + 1])
+            out[i, self.key[place]] = self.weight[place]
+        return out
+
+    def scored(self, table: np.ndarray) -> np.ndarray:
+        """The sum of a table's entries over each unit's subsequences (each unit has some)."""
+        out = []
+        for at in range(0, len(self.starts) - 1, self.CHUNK):
+            starts = self.starts[at : at + self.CHUNK + 1]
+            place = slice(starts[0], starts[-1])
+            out.append(np.add.reduceat(self.weight[place] * table[self.key[place]], starts[:-1] - starts[0]))
+        return np.concatenate(out)
+
+
+def varied(unit: bytes, random: np.random.Generator) -> list[bytes]:
     """The unit with another letter, and with a repeated one, at each place inside."""
     out = []
     for i in range(2, len(unit) - 1):
-        out += [(*unit[:i], int(c), *unit[i:])[:UNIT] for c in (random.integers(1, 27), unit[i - 1])]
+        out += [bytes((*unit[:i], int(c), *unit[i:]))[:UNIT] for c in (random.integers(1, 27), unit[i - 1])]
     return out
 
 
@@ -150,7 +184,7 @@ class Model:
     shift: float = 0.0
     name: str = ""
 
-    def margins(self, units: list[tuple[int, ...]]) -> np.ndarray:
+    def margins(self, units: list[bytes]) -> np.ndarray:
         if not units:
             return np.empty(0)
         row, key, weight = features(units)
@@ -191,21 +225,24 @@ def _known(name: str) -> dict[str, float]:
     return {}
 
 
-def trained(bags: list[tuple[int, list[str]]], prior: float) -> Model:
+def trained(bags: Iterable[tuple[int, list[str]]], prior: float) -> Model:
     """A model from labelled documents, given as label and different words."""
     of_word: dict[str, list[int]] = {}
-    number: dict[tuple[int, ...], int] = {}
+    number: dict[bytes, int] = {}
     held: list[np.ndarray] = []
-    for _, words in bags:
+    told: list[int] = []
+    for label, words in bags:
+        told.append(label)
         own: set[int] = set()
         for word in words:
             ids = of_word.get(word)
             if ids is None:
                 ids = of_word[word] = [number.setdefault(u, len(number)) for u in units_of(word)]
             own.update(ids)
-        held.append(np.fromiter(own, np.int64, len(own)))
-    labels = np.array([label for label, _ in bags], np.int64)
+        held.append(np.fromiter(own, np.int32, len(own)))
+    labels = np.array(told, np.int64)
     units = list(number)
+    del of_word, number
     empty = Model(np.zeros(_SYMBOLS**3), -1.0, name="empty")
     if not units or labels.min(initial=1) == labels.max(initial=0):
         empty.shift = 1 + np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
@@ -230,24 +267,16 @@ def trained(bags: list[tuple[int, list[str]]], prior: float) -> Model:
     landmarks = best[: LANDMARKS // 2]
     common = np.lexsort((np.arange(len(units)), -clean))
     landmarks = np.unique(np.concatenate([landmarks, common[: LANDMARKS - len(landmarks)]]))
-    row, key, weight = features(units)
-    starts = np.searchsorted(row, np.arange(len(units) + 1))
-
-    def dense(chosen: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(chosen), _SYMBOLS**3), np.float32)
-        for i, u in enumerate(chosen):
-            out[i, key[starts[u] : starts[u + 1]]] = weight[starts[u] : starts[u + 1]]
-        return out
-
+    known = _Known(units)
+    dense = known.dense
     basis = dense(landmarks)
-    values, vectors = np.linalg.eigh(basis.astype(np.float64) @ basis.T)
-    good = values > 1e-6 * values.max()
-    whiten = vectors[:, good] / np.sqrt(values[good])
+    values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
+    good = values > 1e-5 * values.max()
+    whiten = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
     project = basis.T @ whiten  # features of a unit: its subsequences times this
 
     def scored(w: np.ndarray) -> np.ndarray:
-        table = project @ w[:-1]
-        return np.bincount(row, weight * table[key], len(units)) + w[-1]
+        return known.scored(project @ w[:-1]) + w[-1]
 
     # Inserted and repeated characters are learned from varied witnesses.
     random = np.random.default_rng(11)
@@ -270,7 +299,7 @@ def trained(bags: list[tuple[int, list[str]]], prior: float) -> Model:
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(against)), np.ones(len(variants))])
         shares = [toxic[witness] / toxic[witness].sum(), np.full(len(against), 1 / max(1, len(against)))]
         cost = COST * np.concatenate([*shares, VARIED * variant_cost / max(1.0, variant_cost.sum())])
-        parts = [dense(picked[i : i + 500]) @ project for i in range(0, len(picked), 500)]
+        parts = [dense(picked[i : i + 200]) @ project for i in range(0, len(picked), 200)]
         x = np.vstack([*parts, varied_x])
         w = svm(x, y, cost)
         scores = scored(w)
@@ -303,7 +332,7 @@ def _bagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [sorted(set(_words(t or ""))) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"]
+            [batch.column("id"), batch.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["id", "toxic", "words"]
         )
 
 
@@ -320,10 +349,11 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = [known.where(F.col("toxic") == y).orderBy(order, "id").limit(n) for y, n in ((1, TRAINING_TOXIC), (0, TRAINING_CLEAN))]
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     bags = rows.join(chosen[0].unionByName(chosen[1]), "id").select("id", "toxic", "text")
-    table = bags.select("toxic", "text").mapInArrow(_bagger, "toxic int, words array<string>").toArrow()
-    rows_ = sorted(zip(table.column("toxic").to_pylist(), table.column("words").to_pylist()), key=lambda r: (r[0], len(r[1]), r[1][:3]))
+    table = bags.mapInArrow(_bagger, "id long, toxic int, words array<string>").toArrow()
+    table = table.take(pc.sort_indices(table, [("id", "ascending")]))
     total = sum(counts.values())
-    return trained(rows_, counts.get(1, 0) / total if total else 0.0)
+    rows = ((table["toxic"][i].as_py(), table["words"][i].as_py()) for i in range(table.num_rows))
+    return trained(rows, counts.get(1, 0) / total if total else 0.0)
 
 
 def _scorer(shared):
