@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from signalsift.llm.chat import op2_chat_formatting
 from signalsift.llm.contamination import op10_benchmark_decontamination
+from signalsift.llm.extraction import op1_html_extraction
 from signalsift.llm.jaccard import op8_jaccard_join
 from signalsift.llm.packing import op3_best_fit_packing
 from signalsift.llm.shards import op9_sharding
@@ -19,6 +20,7 @@ def _shipped(run):
 
 
 _RUNS = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
