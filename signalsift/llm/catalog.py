@@ -7,6 +7,7 @@ from signalsift.llm.contamination import op10_benchmark_decontamination
 from signalsift.llm.extraction import op1_html_extraction
 from signalsift.llm.jaccard import op8_jaccard_join
 from signalsift.llm.packing import op3_best_fit_packing
+from signalsift.llm.secrets import op6_secret_scan
 from signalsift.llm.shards import op9_sharding
 from signalsift.llm.shipping import ship
 from signalsift.llm.toxicity import op4_toxicity
@@ -25,6 +26,7 @@ _RUNS = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_url_filter": op7_url_filter,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
