@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from signalsift.llm.chat import op2_chat_formatting
 from signalsift.llm.contamination import op10_benchmark_decontamination
 from signalsift.llm.extraction import op1_html_extraction
@@ -31,6 +32,7 @@ _RUNS = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}

@@ -356,7 +356,7 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return trained(rows, counts.get(1, 0) / total if total else 0.0)
 
 
-def _scorer(shared):
+def _scorer(shared, keep: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
@@ -370,26 +370,26 @@ def _scorer(shared):
                 if len(some):
                     first = np.concatenate([[0], np.cumsum(counts[some])])[:-1]
                     top[start + some] = np.maximum.reduceat(margins, first)
-            names = [n for n in batch.schema.names if n != "text"]
-            columns = [batch.column(n) for n in names]
+            names = [n for n in batch.schema.names if keep or n != "text"]
             scores = model.probability(np.clip(top, -5, 5))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(scores)], names=[*names, "score"])
 
     return score
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` without the text and with its ``score``, a probability of being toxic; a clashing column is replaced.
+def marked(docs: DataFrame, model: Model, text: str = "text", keep: bool = True) -> DataFrame:
+    """``docs`` with a ``score``, the probability of being toxic, and with the text only if ``keep``; a clashing column is replaced.
 
     Whole texts are read. A null text is an empty one; a text without units has
-    the score of nothing said. Every row comes back once, in any order.
+    the score of nothing said. Every row comes back once, in any order; there is no shuffle.
     """
-    kept = [c for c in docs.columns if c not in (text, score)]
+    kept = [c for c in docs.columns if c not in (text, "score")]
     rows = docs.select(*[F.col(c).alias(f"kept_{c}") for c in kept], F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    out = rows.mapInArrow(_scorer(shared), f"{shape}{', ' if shape else ''}score double")
-    return out.select(*[F.col(f"kept_{c}").alias(c) for c in kept], F.col("score").alias(score))
+    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if keep or f.name != "text")
+    out = rows.mapInArrow(_scorer(shared, keep), f"{shape}score double")
+    names = {f"kept_{c}": c for c in kept} | {"text": text}
+    return out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns])
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -402,5 +402,5 @@ def op4_toxicity(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
     model = fitted(docs, labels.where(~held_out(F.col("doc_id"))))
-    out = scored(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+    out = marked(docs, model, keep=False).withColumn("held_out", held_out(F.col("doc_id")))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
