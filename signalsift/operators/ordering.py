@@ -96,7 +96,10 @@ class SlicePlan:
         place = F.lit(None).cast("long")
         for i, name in reversed(list(enumerate(self.order))):
             value = _as_number(df, name)
-            number = F.floor((value - F.col(f"__low{i}")) / F.col("__width"))
+            low = F.col(f"__low{i}")
+            # The range of a hash does not fit into a long; in double it is cut less finely.
+            apart = F.coalesce(F.try_subtract(value, low).cast("double"), value.cast("double") - low.cast("double"))
+            number = F.floor(apart / F.col("__width"))
             place = F.when(F.col("__on") == i, F.coalesce(number, F.lit(-1))).otherwise(place)
         cut = F.when(F.col("__on").isNull(), F.lit(0)).otherwise(place).cast("long")
         return joined.withColumn(f"__slice{depth}", cut).select(*df.columns, f"__slice{depth}")

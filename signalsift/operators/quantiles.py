@@ -1,10 +1,10 @@
 """Exact quantiles and modes of whole tables.
 
 The built-in ``median`` and ``percentile`` keep every distinct value of a
-group in the memory of one task. Up to ``SMALL`` values that is the fastest
-way and is used. Beyond it the position is searched: count equal-width bins of
-the value range, keep the bin that holds the wanted rank, repeat. Each pass is
-one partially aggregated job, and the driver sees a bounded number of bins.
+group in the memory of one task. Here values are counted first, all columns in
+one pass, and running totals of the counts (cut into slices where they are
+many) say which values stand at the wanted places. The number of jobs is the same for any number of
+columns, probabilities and rows.
 """
 
 from __future__ import annotations
@@ -15,81 +15,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalsift.functions.numeric import equal_width_bin
+from signalsift.operators.ordering import ROWS_PER_SLICE, running_sums
+from signalsift.session import staged
 
-#: Values of one column that one task may hold.
-SMALL = 1_000_000
-BINS = 2048
 
-
-def _value_at(df: DataFrame, column: str, rank: int, low: float, high: float, small: int) -> float:
-    """The value with 0-based ``rank`` in ascending order."""
-    value = F.col(column).cast("double")
-    below = 0  # rows under the bracket [low, high]
-    while low < high:
-        inside = df.filter(value.between(low, high)).select(value.alias("v"))
-        bins = (
-            inside.groupBy(equal_width_bin(F.col("v"), low, high, BINS).alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("b")
-            .collect()  # at most BINS rows
-        )
-        for b in bins:
-            if below + b["n"] > rank:
-                low, high = b["lo"], b["hi"]
-                break
-            below += b["n"]
-        if low < high and b["n"] <= small:
-            place = (rank - below) / (b["n"] - 1) if b["n"] > 1 else 0.0
-            exact = df.filter(value.between(low, high)).agg(F.percentile(value, F.lit(place)))
-            # rank/(n-1) may miss the position by rounding; the values next to it decide
-            return _nearest(df, column, exact.first()[0], rank - below, low, high)
-    return low
-
-
-def _nearest(df: DataFrame, column: str, guess: float, rank: int, low: float, high: float) -> float:
-    """Snap an interpolated guess to the value that really has the rank."""
-    value = F.col(column).cast("double")
-    row = df.filter(value.between(low, high)).agg(
-        F.count_if(value < guess).alias("under"),
-        F.count_if(value == guess).alias("equal"),
-        F.max(F.when(value < guess, value)).alias("left"),
-        F.min(F.when(value > guess, value)).alias("right"),
-    ).first()
-    if row["under"] <= rank < row["under"] + row["equal"]:
-        return guess
-    return row["left"] if rank < row["under"] else row["right"]
+def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``c, v, n``: how often each column has each value; NULL and NaN are no values."""
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    cells = df.select(F.inline(cells)).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    return cells.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.5,), small: int = SMALL
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float] = (0.5,),
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> dict[str, list[float | None]]:
-    """Interpolated quantiles of each column over all rows, exact at any size."""
-    number = {c: F.col(c).cast("double") for c in columns}
-    ends = df.agg(
-        *[F.count(number[c]).alias(f"n_{c}") for c in columns],
-        *[F.min(number[c]).alias(f"lo_{c}") for c in columns],
-        *[F.max(number[c]).alias(f"hi_{c}") for c in columns],
-    ).first()
-    quick = [c for c in columns if 0 < ends[f"n_{c}"] <= small]
-    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    if quick:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[F.percentile(number[c], wanted).alias(c) for c in quick]).first()
-        out.update({c: list(row[c]) for c in quick})
-    for c in columns:
-        n = ends[f"n_{c}"]
-        if n <= small:
-            continue
-        found: list[float | None] = []
-        for p in probabilities:
-            place = p * (n - 1)
-            lower = math.floor(place)
-            a = _value_at(df, c, lower, ends[f"lo_{c}"], ends[f"hi_{c}"], small)
-            b = a if place == lower else _value_at(df, c, lower + 1, ends[f"lo_{c}"], ends[f"hi_{c}"], small)
-            found.append(a + (b - a) * (place - lower))
-        out[c] = found
-    return out
+    """Interpolated quantiles of each column over all rows; None for a column without values."""
+    counts = staged(_counted(df, columns), "values")
+    totals = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    places = {c: [p * (n - 1) for p in probabilities] for c, n in totals.items()}
+    ranks = sorted({(c, r) for c, at in places.items() for x in at for r in (math.floor(x), math.ceil(x))})
+    found: dict[tuple[str, int], float] = {}
+    if ranks:
+        summed = running_sums(counts, ["c"], ["v"], {"n": "upto"}, rows_per_slice)
+        wanted = df.sparkSession.createDataFrame(ranks, "c string, rank long")
+        inside = (F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))
+        hits = summed.join(F.broadcast(wanted), "c").filter(inside)  # two rows per column and probability
+        found = {(r["c"], r["rank"]): r["v"] for r in hits.select("c", "rank", "v").collect()}
+
+    def at(column: str, place: float) -> float:
+        low, high = found[column, math.floor(place)], found[column, math.ceil(place)]
+        return low if low == high else low + (high - low) * (place - math.floor(place))
+
+    return {c: [at(c, x) for x in places[c]] if c in places else [None] * len(probabilities) for c in columns}
 
 
 def exact_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -97,9 +57,5 @@ def exact_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None
 
     Values are counted before the shuffle; NULL is no value. One job.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
-    counts = (
-        df.select(F.inline(cells)).filter("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    best = counts.groupBy("c").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v")).collect()
+    best = _counted(df, columns).groupBy("c").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v")).collect()
     return {**dict.fromkeys(columns), **{r["c"]: r["v"] for r in best}}

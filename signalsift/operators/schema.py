@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -111,50 +110,39 @@ def to_floats(df: DataFrame, columns: Sequence[str] = cfg.FLOAT) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("float") for c in present}) if present else df
 
 
-_DATE_LIKE = re.compile(r"\s*\d{1,4}-\d")
-_LOOKED_AT = 1000
-
-
-def has_datetime_text(df: DataFrame, column: str = "time_s") -> bool:
-    """Does the column hold dates as text? A look at some known values is
-    enough, as a column holds one or the other; values that are neither are
-    passed over. A digit must precede the hyphen: a negative number is no date.
-    """
-    if column not in df.columns or not isinstance(df.schema[column].dataType, T.StringType):
-        return False
-    seen = df.select(column).filter(F.col(column).isNotNull()).head(_LOOKED_AT)
-    return any(_DATE_LIKE.match(row[0]) for row in seen)
-
-
 def relative_seconds(df: DataFrame, column: str = "time_s", scenario: str = "scenario_id") -> DataFrame:
-    """Date text → seconds since the first record of the scenario.
+    """Time text → seconds, value by value: a number is taken as it is, a date as
+    the time since the scenario's first date, all else becomes NULL.
 
-    The first record comes from an aggregate that is joined back (broadcast
-    when small), not from a window that would gather a scenario in one task.
+    Nothing is looked up to decide it, so the order of files does not matter. A
+    column that is no text is left alone. The first date comes from an aggregate that is joined back
+    (broadcast when small), not from a window that would gather a scenario in one task.
     """
-    parsed = df.withColumn("__us", F.unix_micros(F.try_to_timestamp(F.col(column))))
+    if column not in df.columns or not isinstance(df.schema[column].dataType, T.StringType):
+        return df
+    number = _number(df, column)
+    instant = F.when(number.isNull(), F.unix_micros(F.try_to_timestamp(F.col(column))))
+    parsed = df.withColumns({"__s": number, "__us": instant})
     by = [scenario] if scenario in df.columns else []
+    first = parsed.groupBy(*by).agg(F.min("__us").alias("__first"))
     if by:
         from signalsift.operators.ordering import attach
 
-        first = parsed.groupBy(*by).agg(F.min("__us").alias("__first"))
         parsed = attach(parsed, first, by, ["__first"])
-        start = F.col("__first")
     else:
-        start = parsed.agg(F.min("__us")).scalar()
-    return parsed.withColumn(column, (F.col("__us") - start) / F.lit(1e6)).select(*df.columns)
+        parsed = parsed.withColumn("__first", F.lit(first.first()[0]).cast("long"))
+    seconds = F.coalesce("__s", (F.col("__us") - F.col("__first")) / F.lit(1e6))
+    return parsed.withColumn(column, seconds).select(*df.columns)
 
 
 def coerce_types(
     df: DataFrame,
     numeric: Sequence[str] = cfg.NUMERIC,
     integers: Sequence[str] = cfg.INTEGER,
-    datetime_time: bool | None = None,
+    dates: bool = True,
 ) -> DataFrame:
-    """Time, numbers and integers in one step; ``datetime_time=None`` looks at the data."""
-    if datetime_time is None:
-        datetime_time = has_datetime_text(df)
-    if datetime_time:
+    """Time, numbers and integers in one step; without ``dates`` only numbers are times."""
+    if dates:
         df = relative_seconds(df)
     return df.transform(to_numbers, numeric).transform(to_integers, integers)
 

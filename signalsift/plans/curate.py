@@ -15,12 +15,12 @@ from signalsift.operators.windows import add_deltas, add_ratios, count_windows
 from signalsift.session import staged
 
 
-def typed_samples(raw: DataFrame, datetime_time: bool | None = None) -> DataFrame:
+def typed_samples(raw: DataFrame, dates: bool = True) -> DataFrame:
     """Names, types and absolute time of a raw table; row-wise but for the
     first record of each scenario."""
     named = schema.add_defaults(schema.standardize_names(raw))
     schema.require_columns(named, cfg.REQUIRED)
-    return schema.add_timestamp(schema.coerce_types(named, datetime_time=datetime_time))
+    return schema.add_timestamp(schema.coerce_types(named, dates=dates))
 
 
 def row_order(df: DataFrame, tie_breakers: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -37,7 +37,7 @@ def curate(
     columns: Sequence[str] | None = cfg.CLEAN_COLUMNS,
     strategy: Mapping[str, str] = cfg.IMPUTE,
     fill: Mapping[str, float] | None = None,
-    datetime_time: bool | None = None,
+    dates: bool = True,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Raw table → clean table.
@@ -50,7 +50,7 @@ def curate(
     The result is not sorted; the sink sorts inside its files, which is all
     later steps profit from.
     """
-    typed = clean.clip_ranges(typed_samples(raw, datetime_time))
+    typed = clean.clip_ranges(typed_samples(raw, dates))
     keyed, order = row_order(clean.drop_incomplete(typed), tie_breakers)
     keyed = staged(keyed, "complete")
     filled = clean.impute(

@@ -49,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where nothing is
-    named, as in tests, a temporary folder is set.
+    named and all tasks run in this process, as in tests, a temporary folder is set.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -57,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (context.master or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="signalsift-checkpoint-")
     context.setCheckpointDir(folder)
     return folder

@@ -37,6 +37,18 @@ def list_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
     return sorted(p.toString() for p in found if p.getName().lower().endswith(suffix))
 
 
+def _has_nested(spark: SparkSession, path: str, suffix: str) -> bool:
+    """Whether a file with the suffix lies anywhere under the folder."""
+    hadoop, fs = _file_system(spark, path)
+    if not fs.exists(hadoop):
+        return False
+    files = fs.listFiles(hadoop, True)
+    while files.hasNext():
+        if files.next().getPath().getName().lower().endswith(suffix):
+            return True
+    return False
+
+
 def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
     """Field names from the first line of one file; None if it cannot be read."""
     try:
@@ -60,13 +72,16 @@ def _stem(column: str = "_metadata.file_name") -> F.Column:
     return F.regexp_replace(F.url_decode(F.regexp_replace(column, r"\+", "%2B")), r"\.[^.]*$", "")
 
 
-def read_csv(spark: SparkSession, path: str, source_column: str = "scenario_id") -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, source_column: str = "scenario_id", skip_corrupt: bool = False
+) -> DataFrame:
     """CSV file or folder as text columns plus the file stem.
 
     Spark maps the columns of all files of one read by position, so files are
     grouped by their header line, one read per header, and the reads are
     stacked by name. Rows with too many fields are dropped, short rows are
-    filled with NULL; nothing is inferred.
+    filled with NULL; nothing is inferred. A file that breaks off while it is read
+    is an error, unless ``skip_corrupt`` asks for the part that can be read.
     """
     files = list_files(spark, path, ".csv")
     if not files:
@@ -86,7 +101,7 @@ def read_csv(spark: SparkSession, path: str, source_column: str = "scenario_id")
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
         rows = (
             spark.read.schema(schema)
-            .options(header=True, mode="PERMISSIVE", enforceSchema=True, escape='"', ignoreCorruptFiles=True)
+            .options(header=True, mode="PERMISSIVE", enforceSchema=True, escape='"', ignoreCorruptFiles=skip_corrupt)
             .csv(members)
             .filter(F.col(_EXTRA).isNull())
         )
@@ -115,6 +130,9 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     parquet = list_files(spark, path, ".parquet")
     if parquet:
         return read_files(spark, parquet)
+    if _has_nested(spark, path, ".parquet"):
+        # A table in folders named by column values: Spark gives the columns back.
+        return spark.read.option("mergeSchema", True).parquet(path).withColumn("source_file", _stem())
     return read_csv(spark, path, "source_file")
 
 

@@ -22,7 +22,7 @@ def curate_stream(
     """
     named = schema.add_defaults(schema.standardize_names(raw))
     schema.require_columns(named, cfg.REQUIRED)
-    typed = schema.add_timestamp(schema.coerce_types(named, datetime_time=False))
+    typed = schema.add_timestamp(schema.coerce_types(named, dates=False))
     kept = clean.drop_incomplete(clean.clip_ranges(typed))
     filled = clean.fill_constants(kept, fill)
     return schema.in_order(filled, columns) if columns else filled

@@ -54,10 +54,16 @@ def test_layout_detection():
 
 
 def test_negative_numbers_are_no_dates(spark):
-    numbers = spark.createDataFrame([("-1.5",), ("2e-3",), (None,)], "time_s string")
-    dates = spark.createDataFrame([(None,), ("bad-time",), ("2024-01-01 00:00:01",)], "time_s string")
-    assert not schema.has_datetime_text(numbers)
-    assert schema.has_datetime_text(dates)
+    mixed = spark.createDataFrame([("-1.5",), ("2e-3",), (None,), ("bad-time",), ("2024-01-01 00:00:01",)], "time_s string")
+    assert rows(schema.relative_seconds(mixed)) == [(-1.5,), (0.0,), (0.002,), (None,), (None,)]
+
+
+def test_times_do_not_depend_on_the_order_of_rows(spark):
+    plain = [("a", str(k / 2)) for k in range(1200)]
+    dated = [("b", f"2024-01-01 00:00:{k:02d}") for k in range(10)]
+    for given in (plain + dated, dated + plain):
+        got = rows(schema.relative_seconds(spark.createDataFrame(given, "scenario_id string, time_s string").coalesce(1)))
+        assert got == rows(spark.createDataFrame([("a", k / 2) for k in range(1200)] + [("b", float(k)) for k in range(10)], "s string, t double"))
 
 
 def test_relative_seconds_per_scenario(spark):
@@ -97,20 +103,20 @@ def test_mode_tie_takes_the_smallest(spark):
     assert clean.fill_values(empty, {"mcs_dl": "mode"}) == {"mcs_dl": 0}
 
 
-@pytest.mark.parametrize("small", [1_000_000, 3])
-def test_exact_quantiles(spark, small):
+@pytest.mark.parametrize("slice_rows", [1_000_000, 3])
+def test_exact_quantiles(spark, slice_rows):
     source = random.Random(3)
     values = [source.choice([0.0, 7.25, source.gauss(0, 1), source.uniform(-1e6, 1e6)]) for _ in range(301)]
-    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
     q1, q2, q3 = statistics.quantiles(values, n=4, method="inclusive")
-    got = exact_quantiles(df, ["v"], (0.25, 0.5, 0.75, 0.0, 1.0), small=small)["v"]
+    got = exact_quantiles(df, ["v"], (0.25, 0.5, 0.75, 0.0, 1.0), rows_per_slice=slice_rows)["v"]
     assert got == pytest.approx([q1, q2, q3, min(values), max(values)], abs=1e-9)
 
 
 def test_quantile_of_one_heavy_value(spark):
     df = spark.range(2000).selectExpr("if(id % 3 = 0, 5.0D, double(id)) AS v")
     values = sorted(5.0 if i % 3 == 0 else float(i) for i in range(2000))
-    got = exact_quantiles(df, ["v"], (0.1, 0.5), small=10)["v"]
+    got = exact_quantiles(df, ["v"], (0.1, 0.5), rows_per_slice=10)["v"]
     place = 0.1 * 1999
     low = math.floor(place)
     want = values[low] + (values[low + 1] - values[low]) * (place - low)
