@@ -379,7 +379,7 @@ def _(spark, folder):
     return rounded(profile.histogram(staged(event_table(spark, folder)), ["sinr_mean", "sinr_std", "app_dl_mean", "d_sinr_mean"], 50))
 
 
-_BOX = list(cfg.CRITICAL_FEATURES[:4])
+_BOX = list(cfg.CRITICAL_FEATURES)
 
 
 def _box_sql() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from signalsift.catalog.windows import feature_rows
 from signalsift.config import telemetry as cfg
 from signalsift.operators import drift, folds, investigate, metrics, prep, threshold
 from signalsift.plans import report, train
-from signalsift.plans.surrogate import telemetry_events
+from signalsift.plans.surrogate import load, telemetry_events
 from signalsift.session import staged
 from signalsift.sources import sinks
 from signalsift.streaming import scoring
@@ -61,9 +62,9 @@ def _(spark, folder):
     return rounded(prep.scaling_stats(events(spark, folder), FEATURES))
 
 
-@query("m2_scaler_features", asked(q.WIN, _scaling_sql("feat", cfg.NUMERIC_FEATURES[:22]), ["mean", "scale"], ['"column"'], 5))
+@query("m2_scaler_features", asked(q.WIN, _scaling_sql("feat", cfg.NUMERIC_FEATURES), ["mean", "scale"], ['"column"'], 5))
 def _(spark, folder):
-    return rounded(prep.scaling_stats(feature_rows(spark, folder), cfg.NUMERIC_FEATURES[:22]), 5)
+    return rounded(prep.scaling_stats(feature_rows(spark, folder), cfg.NUMERIC_FEATURES), 5)
 
 
 @query(
@@ -103,7 +104,20 @@ def _(spark, folder):
     return prep.transform(t, prep.fit_preparation(t, (), ("scenario_id",)), ["row_id"])
 
 
-_X = cfg.NUMERIC_FEATURES[:14]
+_X = cfg.NUMERIC_FEATURES
+
+
+@query(
+    "m5_one_hot_orders",
+    """SELECT l_orderkey, l_linenumber, n.place FROM lineitem l JOIN (
+      SELECT k, CAST(row_number() OVER (ORDER BY CAST(k AS VARCHAR)) - 1 AS BIGINT) AS place FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) d
+    ) n ON n.k = l.l_orderkey""",
+)
+def _(spark, folder):
+    """Which entry of the one-hot vector is 1, with a category for every order."""
+    rows = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    made = PipelineModel(prep.as_stages(prep.fit_preparation(rows, (), ("l_orderkey",)))).transform(rows)
+    return made.select("l_orderkey", "l_linenumber", F.col("x_code_l_orderkey").cast("long").alias("place"))
 
 
 @query(
@@ -136,6 +150,26 @@ def _(spark, folder):
     return rounded(value_counts(events(spark, folder), "lab_anom"))
 
 
+@query(
+    "t3_group_folds_orders",
+    """WITH RECURSIVE sizes AS (
+      SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS place FROM orders GROUP BY 1
+    ), dealt AS (
+      SELECT CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS o_custkey, CAST(0 AS INTEGER) AS fold, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS d
+      UNION ALL
+      SELECT place, o_custkey, f, a + CASE WHEN f = 1 THEN n ELSE 0 END, b + CASE WHEN f = 2 THEN n ELSE 0 END,
+        c + CASE WHEN f = 3 THEN n ELSE 0 END, d + CASE WHEN f = 4 THEN n ELSE 0 END
+      FROM (SELECT s.place, CAST(s.o_custkey AS BIGINT) AS o_custkey, s.n, x.a, x.b, x.c, x.d,
+        CASE WHEN a <= least(b, c, d) THEN 1 WHEN b <= least(c, d) THEN 2 WHEN c <= d THEN 3 ELSE 4 END AS f
+        FROM dealt x JOIN sizes s ON s.place = x.place + 1) y
+    ) SELECT o_custkey, fold FROM dealt WHERE place > 0""",
+)
+def _(spark, folder):
+    """Balanced folds over all customers, largest first."""
+    orders = load(spark, folder, "orders").select(F.col("o_custkey").cast("long").alias("o_custkey"))
+    return folds.fold_table(orders, "o_custkey", 4).select("o_custkey", "fold")
+
+
 @query(
     "t2_class_weight",
     asked(
@@ -447,9 +481,9 @@ def _(spark, folder):
     return rounded(threshold.within_budget(threshold.threshold_metrics(scored(spark, folder), cfg.SWEEP)))
 
 
-@query("h7_recommendation", asked(f"{q.PRED}, {_SWEPT}", _budget_sql([60]), ["budget", *_ALL], _COUNTS))
+@query("h7_recommendation", asked(f"{q.PRED}, {_SWEPT}", _budget_sql([cfg.SUSTAINABLE_FAR]), ["budget", *_ALL], _COUNTS))
 def _(spark, folder):
-    return rounded(threshold.recommend(threshold.threshold_metrics(scored(spark, folder), cfg.SWEEP), 60))
+    return rounded(threshold.recommend(threshold.threshold_metrics(scored(spark, folder), cfg.SWEEP)))
 
 
 _FOLD_SQL = f"SELECT fold, f2_score, precision, recall, tp + fp + tn + fn AS n_samples FROM ({q.rates_of(q.counts_at('pred', [T], 'fold'), 'fold')}) x"
@@ -683,8 +717,6 @@ trials AS (SELECT a.trial, avg(p.roc_auc) AS score, stddev_pop(p.roc_auc) AS fol
 
 
 def trial_table(spark: SparkSession, folder: str) -> DataFrame:
-    from signalsift.plans.surrogate import load
-
     users = load(spark, folder, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("trial"))
     t = events(spark, folder).join(users, "row_id")
     hit = (F.col("lab_inf") + F.col("lab_anom") > 0).cast("int")

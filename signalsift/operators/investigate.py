@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from signalsift.config import telemetry as cfg
 from signalsift.functions.numeric import ratio, ratio_or_zero
-from signalsift.operators.metrics import LABEL, SCORE
+from signalsift.operators.metrics import LABEL, SCORE, reached
 from signalsift.operators.profile import histogram
 
 
@@ -24,13 +24,11 @@ def _normal() -> Column:
 
 
 def _high(threshold: Column | float) -> Column:
-    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return _normal() & (F.col(SCORE) >= t)
+    return _normal() & reached(threshold)
 
 
 def _low(threshold: Column | float) -> Column:
-    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return _normal() & (F.col(SCORE) < t)
+    return _normal() & ~reached(threshold)
 
 
 def false_alarms(df: DataFrame, threshold: float) -> DataFrame:
@@ -93,25 +91,34 @@ def concentration(df: DataFrame, threshold: float = 0.5, scenario: str = "scenar
 def feature_contrast(df: DataFrame, features: Sequence[str], threshold: float) -> DataFrame:
     """Means of false alarms and quiet normals per feature, their difference
     and its size in pooled deviations. No rows if there is no false alarm."""
-    aggs = [F.count_if(_high(threshold)).alias("__high")]
-    for i, f in enumerate(features):
-        for cohort, member in (("h", _high(threshold)), ("l", _low(threshold))):
-            v = F.when(member, F.col(f).cast("double"))
-            aggs += [F.avg(v).alias(f"m{cohort}{i}"), F.stddev_samp(v).alias(f"s{cohort}{i}")]
-    rows = []
-    for i, f in enumerate(features):
-        diff = F.col(f"mh{i}") - F.col(f"ml{i}")
-        pooled = F.sqrt((F.pow(f"sh{i}", F.lit(2)) + F.pow(f"sl{i}", F.lit(2))) / 2)
-        rows.append(
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.col(f"mh{i}").alias("high_prob_mean"),
-                F.col(f"ml{i}").alias("low_prob_mean"),
-                diff.alias("diff"),
-                F.abs(F.when(pooled > 0, ratio(diff, pooled)).otherwise(0.0)).alias("effect_size"),
+    return feature_contrasts(df, features, [threshold]).drop("threshold", "n_normal", "n_high", "high_pct")
+
+
+def feature_contrasts(df: DataFrame, features: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """``feature_contrast`` at each threshold, with the cohort sizes: one scan for all of them."""
+    aggs, rows = [F.count_if(_normal()).alias("normal")], []
+    for k, threshold in enumerate(thresholds):
+        aggs.append(F.count_if(_high(threshold)).alias(f"high{k}"))
+        for i, f in enumerate(features):
+            for cohort, member in (("h", _high(threshold)), ("l", _low(threshold))):
+                v = F.when(member, F.col(f).cast("double"))
+                aggs += [F.avg(v).alias(f"m{cohort}{k}_{i}"), F.stddev_samp(v).alias(f"s{cohort}{k}_{i}")]
+            diff = F.col(f"mh{k}_{i}") - F.col(f"ml{k}_{i}")
+            pooled = F.sqrt((F.pow(f"sh{k}_{i}", F.lit(2)) + F.pow(f"sl{k}_{i}", F.lit(2))) / 2)
+            rows.append(
+                F.struct(
+                    F.lit(f).alias("feature"),
+                    F.col(f"mh{k}_{i}").alias("high_prob_mean"),
+                    F.col(f"ml{k}_{i}").alias("low_prob_mean"),
+                    diff.alias("diff"),
+                    F.abs(F.when(pooled > 0, ratio(diff, pooled)).otherwise(0.0)).alias("effect_size"),
+                    F.lit(float(threshold)).alias("threshold"),
+                    F.col("normal").alias("n_normal"),
+                    F.col(f"high{k}").alias("n_high"),
+                    (ratio_or_zero(F.col(f"high{k}"), F.col("normal")) * 100).alias("high_pct"),
+                )
             )
-        )
-    return df.agg(*aggs).filter("__high > 0").select(F.inline(F.array(*rows)))
+    return df.agg(*aggs).select(F.inline(F.array(*rows))).where("n_high > 0")
 
 
 def strongest(contrast: DataFrame, k: int = 10) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality of a probability score, exact and without sorting raw rows.
 
 Input is a long prediction table: a 0/1 column ``y_true``, a score ``y_prob``
-and any group columns (``by``, for example the fold). Rank metrics first
+and any group columns (``by``, for example the fold). A row without a score reaches no
+threshold and ranks below all others; it is counted everywhere. Rank metrics first
 collapse the rows to distinct scores with their positives and negatives; only
 that table is ordered, in slices if it is still large.
 """
@@ -9,7 +10,6 @@ that table is ordered, in slices if it is still large.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +32,15 @@ def predictions(df: DataFrame, label: str, score: str, keep: Sequence[str] = ())
     return df.select(*keep, F.col(label).cast("int").alias(LABEL), F.col(score).cast("double").alias(SCORE))
 
 
+def reached(threshold: Column | float) -> Column:
+    """Whether the score reaches the threshold; no score reaches none."""
+    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    return F.coalesce(F.col(SCORE) >= t, F.lit(False))
+
+
 def decide(df: DataFrame, threshold: float) -> DataFrame:
     """1 where the score reaches the threshold."""
-    return df.withColumn("y_pred", (F.col(SCORE) >= F.lit(float(threshold))).cast("int"))
+    return df.withColumn("y_pred", reached(threshold).cast("int"))
 
 
 # --- class balance -----------------------------------------------------------
@@ -49,16 +55,19 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 # --- counts at one threshold -------------------------------------------------
 
 
-def decision_counts(by: Sequence[str], df: DataFrame, threshold: float) -> DataFrame:
-    """tp, fp, tn, fn per group."""
-    hit = F.col(SCORE) >= F.lit(float(threshold))
-    pos = _positive()
-    return df.groupBy(*by).agg(
+def _decisions(threshold: float) -> list[Column]:
+    hit, pos = reached(threshold), _positive()
+    return [
         F.count_if(pos & hit).alias("tp"),
         F.count_if(~pos & hit).alias("fp"),
         F.count_if(~pos & ~hit).alias("tn"),
         F.count_if(pos & ~hit).alias("fn"),
-    )
+    ]
+
+
+def decision_counts(by: Sequence[str], df: DataFrame, threshold: float) -> DataFrame:
+    """tp, fp, tn, fn per group."""
+    return df.groupBy(*by).agg(*_decisions(threshold))
 
 
 def confusion_matrix(df: DataFrame, threshold: float) -> DataFrame:
@@ -73,14 +82,17 @@ def confusion_matrix(df: DataFrame, threshold: float) -> DataFrame:
 
 def decision_metrics(df: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, precision, recall, F1 per group; 0 where undefined."""
+    return decision_counts(by, df, threshold).select(*by, *_decision_rates())
+
+
+def _decision_rates() -> list[Column]:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    return decision_counts(by, df, threshold).select(
-        *by,
+    return [
         rates.accuracy(tp, fp, tn, fn).alias("accuracy"),
         rates.precision(tp, fp).alias("precision"),
         rates.recall(tp, fn).alias("recall"),
         rates.f_beta(tp, fp, fn).alias("f1"),
-    )
+    ]
 
 
 def classification_report(df: DataFrame, threshold: float) -> DataFrame:
@@ -113,7 +125,11 @@ def classification_report(df: DataFrame, threshold: float) -> DataFrame:
 
 def brier(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean squared distance of score and label."""
-    return df.groupBy(*by).agg(F.avg(F.pow(F.col(SCORE) - F.col(LABEL), F.lit(2))).alias("brier"))
+    return df.groupBy(*by).agg(_brier())
+
+
+def _brier() -> Column:
+    return F.avg(F.pow(F.col(SCORE) - F.col(LABEL), F.lit(2))).alias("brier")
 
 
 # --- rank metrics ------------------------------------------------------------
@@ -188,15 +204,12 @@ def precision_recall_points(df: DataFrame) -> DataFrame:
 
 
 def score_metrics(df: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
-    """All metrics of a score per group."""
-    parts = [rank_metrics(df, by), brier(df, by), decision_metrics(df, threshold, by)]
+    """All metrics of a score per group: the ranks, and one aggregate for the rest."""
+    counted = df.groupBy(*by).agg(_brier(), *_decisions(threshold)).select(*by, "brier", *_decision_rates())
+    ranks = rank_metrics(df, by)
     if by:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.join(part, list(by))
-        return out
-    tagged = [p.withColumn("__one", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, "__one"), tagged).drop("__one")
+        return ranks.join(counted, list(by))
+    return ranks.withColumn("__one", F.lit(1)).join(counted.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 def cv_summary(fold_metrics: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Fit and apply scaling and one-hot encoding.
 
-What is fitted is small: a mean and a scale per numeric column, a sorted list
+What is fitted is a mean and a scale per numeric column, a sorted list
 of categories per categorical one. It is turned into ordinary Spark ML stages
-(``SQLTransformer``, ``VectorAssembler``), so saving and loading is the
-``PipelineModel`` format and applying it is plain SQL expressions.
+(``SQLTransformer``, ``StringIndexerModel``, ``OneHotEncoderModel``,
+``VectorAssembler``), so saving and loading is the ``PipelineModel`` format; the
+vectors are sparse, so the number of categories costs a row nothing.
 """
 
 from __future__ import annotations
@@ -12,15 +13,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalsift.config import telemetry as cfg
 
-#: A dense 0/1 column per category is senseless beyond this.
-MAX_CATEGORIES = 2000
-
 
 @dataclass(frozen=True)
 class Preparation:
@@ -65,16 +63,8 @@ def scaling_stats(df: DataFrame, columns: Sequence[str] = cfg.NUMERIC_FEATURES)
 
 
 def category_values(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct categories as text; raises if they are too many to encode."""
-    found = (
-        df.select(F.col(column).cast("string").alias("c"))
-        .filter("c is not null")
-        .distinct()
-        .limit(MAX_CATEGORIES + 1)  # only to notice that there are too many
-        .collect()
-    )
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories; do not one-hot encode it")
+    """Sorted distinct categories as text. The list is part of the fitted model, as that of any string index."""
+    found = df.select(F.col(column).cast("string").alias("c")).filter("c is not null").distinct().collect()
     return sorted(r["c"] for r in found)
 
 
@@ -102,7 +92,7 @@ def scaled_columns(prep: Preparation, impute: bool = False) -> dict[str, Column]
 
 
 def encoded_columns(prep: Preparation) -> dict[str, Column]:
-    """One 0/1 column per category; unknown and missing values give zeros."""
+    """One 0/1 column per category; unknown and missing values give zeros. For wide tables; models take ``as_stages``."""
     return {
         f"ohe_{c}_{i}": F.coalesce((F.col(c).cast("string") == value).cast("double"), F.lit(0.0))
         for c, values in prep.categories.items()
@@ -116,28 +106,36 @@ def transform(df: DataFrame, prep: Preparation, keep: Sequence[str] = (), impute
     return df.select(*[F.col(k).alias(k) for k in keep if k not in made], *[c.alias(n) for n, c in made.items()])
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _coding(names: Sequence[str], prep: Preparation) -> list:
+    """Category → number → sparse 0/1 vector. An unknown or missing category has the number after the last one and no 1."""
+    coders = [
+        StringIndexerModel.from_labels(list(prep.categories[c]), f"x_text_{c}", f"x_code_{c}", "keep") for c in names
+    ]
+    rows = SparkSession.active().createDataFrame([], ", ".join(f"`x_text_{c}` string" for c in names))
+    for coder in coders:
+        rows = coder.transform(rows)
+    # The sizes stand in the columns' metadata, so nothing is read here.
+    encoder = OneHotEncoder(inputCols=[f"x_code_{c}" for c in names], outputCols=[f"x_ohe_{c}" for c in names])
+    return [*coders, encoder.fit(rows)]
 
 
 def as_stages(prep: Preparation, impute: bool = True, out: str = "features") -> list:
     """The same transformation as ML stages that can be saved and loaded.
 
     Scaled columns get the prefix ``x_``, so the original ones stay readable
-    next to the scores.
+    next to the scores; a category's number is in ``x_code_`` and its column's name.
     """
     parts = []
     for c, (mean, scale) in prep.scale.items():
         value = f"(CAST(`{c}` AS DOUBLE) - CAST({mean!r} AS DOUBLE)) / CAST({scale!r} AS DOUBLE)"
         parts.append(f"COALESCE({value}, 0.0D) AS `x_{c}`" if impute else f"{value} AS `x_{c}`")
-    for c, values in prep.categories.items():
-        for i, v in enumerate(values):
-            parts.append(f"CASE WHEN CAST(`{c}` AS STRING) = {_text(v)} THEN 1.0D ELSE 0.0D END AS `x_ohe_{c}_{i}`")
+    coded = [c for c, values in prep.categories.items() if values]
+    parts += [f"CAST(`{c}` AS STRING) AS `x_text_{c}`" for c in coded]
     sql = SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
     assemble = VectorAssembler(
-        inputCols=[f"x_{n}" for n in prep.feature_order], outputCol=out, handleInvalid="keep"
+        inputCols=[*[f"x_{c}" for c in prep.scale], *[f"x_ohe_{c}" for c in coded]], outputCol=out, handleInvalid="keep"
     )
-    return [sql, assemble]
+    return [sql, *(_coding(coded, prep) if coded else []), assemble]
 
 
 def design_matrix(

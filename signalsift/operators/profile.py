@@ -165,9 +165,8 @@ def histogram(
         "mean",
         "total",
     )
-    # one row per column and group, and the groups are cohorts: a handful of rows
-    limits = F.broadcast(ends.select(*keys, "low", "high"))
-    placed = long.join(limits, keys).groupBy(
+    # One row per column and group; Spark knows its size when it chooses the join.
+    placed = long.join(ends.select(*keys, "low", "high"), keys).groupBy(
         *keys, equal_width_bin(F.col("v"), F.col("low"), F.col("high"), bins).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
     frame = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

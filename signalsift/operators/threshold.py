@@ -24,7 +24,8 @@ def threshold_counts(df: DataFrame, thresholds: Sequence[float], by: Sequence[st
     """tp, fp, tn, fn at every threshold (and group): one scan."""
     thresholds = sorted(float(t) for t in thresholds)
     positive = F.col(LABEL) == 1
-    reached = df.groupBy(*by, steps_reached(F.col(SCORE), thresholds).alias("__k")).agg(
+    place = F.coalesce(steps_reached(F.col(SCORE), thresholds), F.lit(0))  # no score reaches no threshold
+    reached = df.groupBy(*by, place.alias("__k")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
     # One row per threshold from here on. Each group of rows answers for all

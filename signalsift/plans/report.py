@@ -66,9 +66,4 @@ def alarm_report(
     scored: DataFrame, features: Sequence[str], thresholds: Sequence[float] = cfg.REPORT_THRESHOLDS
 ) -> DataFrame:
     """Feature contrast at each report threshold, with the cohort sizes."""
-    sizes = investigate.cohort_sizes(scored, thresholds)
-    parts = None
-    for t in thresholds:
-        one = investigate.feature_contrast(scored, features, t).withColumn("threshold", F.lit(float(t)))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.join(sizes.select("threshold", "n_normal", "n_high", "high_pct"), "threshold")
+    return investigate.feature_contrasts(scored, features, thresholds)

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -178,21 +179,26 @@ def search(
     overrides: Mapping[str, object] | None = None,
     folds: int = cfg.FOLDS,
 ) -> DataFrame:
-    """Trial table (trial, score, fold_std, params). A trial that fails has a
-    NULL score and does not stop the search."""
+    """Trial table (trial, score, fold_std, params, problem). A trial whose parameters or rows
+    do not make a model has a NULL score and says why; anything else that fails stops the
+    search, and so does a search without any score."""
     spark = features.sparkSession
     rows = staged(assign_folds(features, folds=folds), "folds")
     results = []
     for number, params in enumerate(draw(space, trials, seed)):
+        found, why = (None, None), None
         try:
             scored = held_out_scores(rows, {**params, "random_state": seed}, overrides, folds)
             row = trial_scores(scored.withColumn("trial", F.lit(number))).first()
             found = (row["score"], row["fold_std"])
-        except Exception as problem:  # noqa: BLE001  a trial may fail for any reason
-            print(f"trial {number} failed: {problem}")
-            found = (None, None)
-        results.append((number, *found, {k: float(v) for k, v in params.items()}))
-    return spark.createDataFrame(results, "trial int, score double, fold_std double, params map<string,double>")
+        except (IllegalArgumentException, ValueError) as problem:
+            why = str(problem)
+        results.append((number, *found, {k: float(v) for k, v in params.items()}, why))
+    if all(score is None for _, score, *_ in results):
+        raise ValueError(f"no trial has a score: {[why for *_, why in results]}")
+    return spark.createDataFrame(
+        results, "trial int, score double, fold_std double, params map<string,double>, problem string"
+    )
 
 
 def top_trials(trials: DataFrame, k: int = 10) -> DataFrame:
@@ -204,4 +210,6 @@ def refit_best(
 ) -> PipelineModel:
     """Model on all rows with the parameters of the best trial."""
     best = top_trials(trials, 1).first()
+    if best is None or best["score"] is None:
+        raise ValueError("no trial has a score")
     return train_all(features, {**best["params"], "random_state": seed}, overrides)

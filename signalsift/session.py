@@ -85,6 +85,9 @@ def staged(df: DataFrame, what: str = "stage") -> DataFrame:
 def released(*copies: DataFrame) -> None:
     """Remove staged tables that nothing reads any more."""
     for copy in copies:
-        spark = copy.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(copy.staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(copy.sparkSession, copy.staged_path)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalsift.config import telemetry as cfg
 from signalsift.operators.windows import add_deltas, event_windows
+from signalsift.session import released, removed, staged
 
 
 def stream_windows(
@@ -31,7 +32,7 @@ def delta_writer(
     The state is the last window of each scenario, one row, stored per batch
     under ``state``; deltas go to ``out``. Both are written to a folder of the
     batch number, so a batch that is run again after a failure replaces its
-    own output and nothing else. The change itself is the batch operator, so a
+    own output and nothing else; the state before the last one is removed. The change itself is the batch operator, so a
     scenario with many windows in one batch is cut into chunks there.
     A window that arrives after a later one was handled has no predecessor
     and gets 0, as the first one does.
@@ -41,7 +42,8 @@ def delta_writer(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select(*keep, F.lit(False).alias("carried"))
+        fresh = staged(batch.select(*keep, F.lit(False).alias("carried")), "batch")  # the source is read once
+        stored = fresh
         past = f"{state}/batch={batch_id - 1}"
         if batch_id > 0:
             last = spark.read.schema(fresh.schema).parquet(past)
@@ -54,5 +56,8 @@ def delta_writer(
         newest.select(scenario, "w.*", F.lit(True).alias("carried")).write.mode("overwrite").parquet(
             f"{state}/batch={batch_id}"
         )
+        released(stored)
+        if batch_id > 1:
+            removed(spark, f"{state}/batch={batch_id - 2}")  # a repeated batch reads only the state before it
 
     return write
