@@ -241,7 +241,7 @@ def fitted(spark: SparkSession, findings: list[tuple[int, list[float]]] | None =
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """Row, first and last byte of all candidates in a buffer of texts, in order."""
+    """Row, first and last byte of all candidates in a buffer of texts, in order; they do not overlap."""
     if not len(data):
         return []
     key = _KEY[data]
@@ -254,8 +254,8 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     some = digits[ends] > digits[starts]
     rows = np.searchsorted(offsets, starts, "right") - 1
-    found = {(int(r), int(a)): int(b) for r, a, b in zip(rows[some], starts[some], ends[some])}
     raw = None
+    assigned: list[tuple[int, int, int]] = []
     for at in np.flatnonzero((data == 61) | (data == 58)).tolist():  # = and :
         raw = data.tobytes() if raw is None else raw
         row = int(np.searchsorted(offsets, at, "right") - 1)
@@ -264,19 +264,34 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
             value = _VALUE.match(raw[at + 1 : min(high, at + 260)])
             if value:
                 begin = at + 1 + value.start(1)
-                if not any((row, p) in found for p in range(begin, begin + len(value[1]))):
-                    stripped = value[1].rstrip(b".,;)")
-                    if len(stripped) >= 6:
-                        found[row, begin] = begin + len(stripped)
-    return sorted((r, a, b) for (r, a), b in found.items())
+                stripped = value[1].rstrip(b".,;)")
+                if len(stripped) >= 6:
+                    assigned.append((row, begin, begin + len(stripped)))
+    found = []
+    for row, a, b in zip(rows[some].tolist(), starts[some].tolist(), ends[some].tolist()):
+        front, rest = _trimmed(data[a:b].tobytes())
+        if len(rest) >= 6:
+            found.append((row, a + front, a + front + len(rest)))
+    return _merged(found + assigned)
+
+
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of each row in order, those that overlap as one."""
+    out: list[tuple[int, int, int]] = []
+    for row, a, b in sorted(spans):
+        if out and out[-1][0] == row and a < out[-1][2]:
+            out[-1] = (row, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((row, a, b))
+    return out
 
 
-def _trimmed(value: str) -> tuple[int, str]:
+def _trimmed(value: bytes) -> tuple[int, bytes]:
     """A run without the signs around a key: how many go in front, and the rest."""
-    front = len(value) - len(value.lstrip("=/.-+"))
-    rest = value[front:].rstrip("./-+")
-    name, sign, tail = rest.partition("=")
-    if sign and len(tail.strip("=")) >= 8 and len(name) < 24:
+    front = len(value) - len(value.lstrip(b"=/.-+"))
+    rest = value[front:].rstrip(b"./-+")
+    name, sign, tail = rest.partition(b"=")
+    if sign and len(tail.strip(b"=")) >= 8 and len(name) < 24:
         return front + len(name) + 1, tail
     return front, rest
 
@@ -296,12 +311,8 @@ def _scanner(shared, least: float, clean: bool):
                     value = part[a:b].tobytes().decode("utf-8", "replace")
                     before = part[max(int(places[row]), a - AROUND) : a].tobytes().decode("utf-8", "ignore")
                     after = part[b : min(int(places[row + 1]), b + AROUND)].tobytes().decode("utf-8", "ignore")
-                    front, rest = _trimmed(value)
-                    if len(rest) < 6:
-                        continue
-                    x.append(features(rest, (before + value[:front])[-AROUND:], after))
-                    a += len(value[:front].encode())
-                    spots.append((row, a, a + len(rest.encode())))
+                    x.append(features(value, before, after))
+                    spots.append((row, a, b))
                 if not spots:
                     continue
                 points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])

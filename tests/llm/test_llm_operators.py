@@ -304,6 +304,22 @@ def test_secrets(spark):
     assert clean[7] == 'token = "[secret]" and token = "[secret]"'
 
 
+def test_secrets_unquoted(spark):
+    """An unquoted assignment is one finding, and what stands behind it stays."""
+    key = hashlib.sha1(b"1").hexdigest()
+    cases = {
+        f"token={key} more words": "token=[secret] more words",
+        f"? token={key}": "? token=[secret]",
+        f"export API_KEY={key}; client_secret={key[::-1]} and all that follows": "export API_KEY=[secret]; client_secret=[secret] and all that follows",
+        "password: aB3!xY9z#Qw8Rt5vN2mK1pL7 more words": "password: [secret] more words",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    forest = secrets.fitted(spark)
+    clean = {r["doc_id"]: r for r in secrets.scanned(frame, forest, clean=True).collect()}
+    assert [clean[i]["text"] for i in range(len(cases))] == list(cases.values())
+    assert [len(clean[i]["findings"]) for i in range(len(cases))] == [1, 1, 2, 1]
+
+
 def test_secrets_held_out(spark):
     forest = secrets.fitted(spark)
     x, y = [], []
