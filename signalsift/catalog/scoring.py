@@ -20,8 +20,6 @@ from signalsift.streaming import scoring
 
 T = 0.3
 FEATURES = ["sinr_db", "rsrp_dbm", "rsrq_db", "app_dl_mbps", "mcs_dl", "mcs_ul", "prb_dl", "prb_ul"]
-#: Trees small enough for a query; all rows are used.
-SMALL_TREES = {"maxIter": 3, "maxDepth": 3}
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -670,14 +668,14 @@ def _(spark, folder):
 
 @query("t4_held_out_scores")
 def _(spark, folder):
-    made = train.held_out_scores(feature_rows(spark, folder), overrides=SMALL_TREES)
+    made = train.held_out_scores(feature_rows(spark, folder))
     return rounded(made.select("scenario_id", "ts_start_ns", "fold", "y_true", "y_prob"))
 
 
 @query("t6_final_model")
 def _(spark, folder):
     table = staged(feature_rows(spark, folder))
-    model = train.train_all(table, overrides=SMALL_TREES)
+    model = train.train_all(table)
     return rounded(train.score(table, model).select("scenario_id", "ts_start_ns", "weak_label", "y_prob"))
 
 
@@ -685,7 +683,7 @@ def _(spark, folder):
 def _(spark, folder):
     table = staged(feature_rows(spark, folder))
     fitted = prep.fit_preparation(table)
-    model = train.fit_model(table, fitted, overrides=SMALL_TREES)
+    model = train.fit_model(table, fitted)
     named = train.feature_importance(model, fitted.feature_order)
     return spark.createDataFrame([(i.feature, i.importance) for i in named], "feature string, importance double")
 
@@ -693,13 +691,13 @@ def _(spark, folder):
 @query("x4_alerts")
 def _(spark, folder):
     table = staged(feature_rows(spark, folder))
-    path = sinks.save_model(train.train_all(table, overrides=SMALL_TREES), scratch(spark, "model"))
+    path = sinks.save_model(train.train_all(table), scratch(spark, "model"))
     return rounded(scoring.alert_rate(scoring.alerts(table, sinks.load_model(path), 0.5)))
 
 
 @query("o1_parameter_search")
 def _(spark, folder):
-    found = train.search(feature_rows(spark, folder), trials=2, overrides=SMALL_TREES)
+    found = train.search(feature_rows(spark, folder))
     return found.select("trial", "score", "fold_std")
 
 

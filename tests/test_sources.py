@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from signalsift.catalog import QUERIES
 from signalsift.config import telemetry as cfg
 from signalsift.operators import prep
 from signalsift.plans import report, train
@@ -133,6 +134,35 @@ def test_search(spark, features):
     assert train.refit_best(features, found, TREES).stages
 
 
+def test_model_queries_train_the_configured_trees(spark, folder, monkeypatch):
+    """What the registered queries ask for; only the fit itself is made small."""
+    asked, whole = [], train.classifier
+
+    def small(params, overrides=None):
+        asked.append(whole(params, overrides))
+        return whole(params, TREES)
+
+    monkeypatch.setattr(train, "classifier", small)
+    for name in ("t4_held_out_scores", "t6_final_model", "t19_feature_importance", "x4_alerts"):
+        asked.clear()
+        assert QUERIES[name](spark, folder).count() > 0
+        assert {(a.getMaxIter(), a.getMaxDepth()) for a in asked} == {(cfg.BOOSTING["n_estimators"], cfg.BOOSTING["max_depth"])}
+
+
+@pytest.mark.parametrize("name", ["o1_parameter_search", "o5_refit_best"])
+def test_search_queries_try_the_whole_space(spark, folder, monkeypatch, name):
+    asked = []
+
+    def refused(rows, params, overrides=None, folds=cfg.FOLDS):
+        asked.append((train.classifier(params, overrides).getMaxIter(), train.classifier(params, overrides).getMaxDepth()))
+        raise ValueError("not trained here")
+
+    monkeypatch.setattr(train, "held_out_scores", refused)
+    with pytest.raises(ValueError, match="no trial has a score"):
+        QUERIES[name](spark, folder)
+    assert asked == [(p["n_estimators"], p["max_depth"]) for p in train.draw(cfg.SEARCH_SPACE, 20)]
+
+
 def test_failed_trials_are_kept(spark, features):
     found = train.search(features, trials=1, overrides={"maxDepth": 99})
     assert rows(found.select("trial", "score")) == [(0, None)]
