@@ -1,8 +1,9 @@
 """Secrets in texts: candidates by form, false positives removed by a random forest.
 
 A candidate is a run of at least ``SHORTEST`` characters of keys and tokens with
-a digit in it, or the value of an assignment to a name like ``password``. Its
-features are length, kinds of characters, how they follow each other, how much of it
+a digit in it, a key with a known beginning, the value of a bearer header, the password of an
+address, or the value of an assignment to a name like ``password``, with or without digits and
+as long as it is. Its features are length, kinds of characters, how they follow each other, how much of it
 dictionary words cover, whether it is part of a path or address, and the words
 before it. The forest is trained by Spark ML on labelled findings; its trees are then
 arrays, so that a text is searched, judged and cleaned in one pass.
@@ -48,8 +49,25 @@ PLACEHOLDERS = ("example", "placeholder", "changeme", "your", "xxxx", "dummy", "
 DICTIONARY = frozenset(
     "the and for with this that from have not are was you all can has one our out new use get set data file name user test main index page view list item type value time date node path home page image photo report final draft version release build config server client local public static assets module package library common model train report invoice order customer product service system number section chapter summary".split()
 )
-_ASSIGNED = re.compile(rb"(?:^|[^a-z])(password|passwd|pwd|passphrase|secret|token|api[_-]?key|credential)[\"']?\s{0,2}\Z", re.I)
-_VALUE = re.compile(rb"\s{0,2}[\"']?([^\s\"'<>]{6,200})")
+_NAMED = "|".join(sorted((*SECRET_WORDS, "api[_-]?key"), key=len, reverse=True))
+#: The end of a name with one of the words in it (``db_password``, ``apiKey``, ``secret_2``), before = or :.
+_ASSIGNED = re.compile(
+    rf"(?:(?<![a-zA-Z])(?i:{_NAMED})|(?<=[a-z])(?:{'|'.join(w.capitalize() for w in SECRET_WORDS)}))s?(?:[_-]\w{{0,16}}|[0-9]{{1,4}})?(?:\\?[\"'`])?\s{{0,8}}:?\Z".encode()
+)
+#: Bytes before = or : in which that name stands.
+_NAME = 64
+#: A value up to white space, its closing quote or the next assignment behind a separator; as long as it is.
+_SCHEME = r"(?:(?i:bearer|basic|token)[ \t]+)?"
+_VALUE = re.compile(
+    rf">?\s{{0,8}}(?:\\?\"{_SCHEME}([^\s\"]+)|\\?'{_SCHEME}([^\s']+)|\\?`{_SCHEME}([^\s`]+)"
+    rf"|{_SCHEME}((?:[^\s\"'<>`&;,?]+|(?![&;,?][A-Za-z_][\w.-]{{0,40}}[=:])[&;,?])+))".encode()
+)
+_BEARER = re.compile(rb"(?<![A-Za-z])[Bb](?:earer|EARER)[ \t]+([^\s\"'<>`,;]+)")
+#: The password of user:password@host.
+_LOGIN = re.compile(rb"://[^\s/?#:@\"'<>]*:([^\s/?#\"'<>]+)@(?=[\w\[])")
+#: Beginnings of keys (fixed values); such a key needs no digit.
+PREFIXES = ("AKIA", "ASIA", "AIza", "eyJ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live_", "sk_test_", "rk_live_", "pk_live_", "sk-", "npm_", "hf_")
+_PREFIXED = re.compile(rb"(?<![A-Za-z0-9])(?:%s)[A-Za-z0-9_.+/=-]+" % "|".join(PREFIXES).encode())
 _WORDS = re.compile(r"[A-Za-z]+[0-9]*")
 
 NAMES = (
@@ -197,6 +215,14 @@ class _Writer:
         ][int(self.random.integers(6))]
         return value, before, after
 
+    def plain(self) -> str:
+        """What stands behind a secret's name in code and prose without being one."""
+        one, two = self.word() + self.word(), self.word()
+        return self.pick(
+            one, one.capitalize(), f"self.{one}", f"{one}_{two}", f"{one}.{two}({two}", f"{one}(", f"None){self.pick(':', '')}", f"{one}{two.capitalize()}", f"${{{one.upper()}}}",
+            self.pick("string", "required", "optional", "invalid", "incorrect", "missing", "function", "public", "default"),
+        )
+
     def harmless(self) -> tuple[str, str, str]:
         value, name = [
             (lambda: (self.chars(self.HEX, 40), self.pick("commit", "sha1", "revision"))),
@@ -211,7 +237,8 @@ class _Writer:
             (lambda: ("-".join(self.chars("0123456789", k) for k in (4, 2, 2)) + "-" + self.word(), self.pick("date", ""))),
             (lambda: (self.word() + "_" + self.word() + "_" + self.chars("0123456789", 1, 4), "")),
             (lambda: (self.word() * 2 + self.chars("0123456789", 1, 4), "")),
-        ][int(self.random.integers(12))]()
+            (lambda: (self.plain(), self.pick("token", "key", "password", "secret", "auth", "access", "private", "api_key"))),
+        ][int(self.random.integers(13))]()
         if self.random.random() < 0.5 or not name:
             before, after = f"{self.prose()} {name} " if name else f"{self.prose()} ", f" {self.prose()}"
         else:
@@ -254,25 +281,54 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     some = digits[ends] > digits[starts]
     rows = np.searchsorted(offsets, starts, "right") - 1
-    raw = None
-    assigned: list[tuple[int, int, int]] = []
+    return _merged(_runs(data, rows[some], starts[some], ends[some]) + _assigned(data, offsets) + _known(data, offsets))
+
+
+def _assigned(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """Values assigned to names of ``SECRET_WORDS``, with or without digits, whatever their length."""
+    out = []
+    raw, last = data.tobytes(), 0
     for at in np.flatnonzero((data == 61) | (data == 58)).tolist():  # = and :
-        raw = data.tobytes() if raw is None else raw
+        if at < last:
+            continue  # part of the value before
         row = int(np.searchsorted(offsets, at, "right") - 1)
         low, high = int(offsets[row]), int(offsets[row + 1])
-        if _ASSIGNED.search(raw[max(low, at - 24) : at]):
-            value = _VALUE.match(raw[at + 1 : min(high, at + 260)])
+        if _ASSIGNED.search(raw[max(low, at - _NAME) : at]):
+            value = _VALUE.match(raw, at + 1, high)
             if value:
-                begin = at + 1 + value.start(1)
-                stripped = value[1].rstrip(b".,;)")
-                if len(stripped) >= 6:
-                    assigned.append((row, begin, begin + len(stripped)))
+                begin = value.start(value.lastindex)
+                found = value[value.lastindex].rstrip(b".,;)\\" if value.lastindex == 4 else b"\\")
+                begin += len(found) - len(found.lstrip(b"="))
+                last = begin + len(found.lstrip(b"="))
+                if last - begin >= 6:
+                    out.append((row, begin, last))
+    return out
+
+
+def _known(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """Values of bearer headers, passwords of addresses, and keys with a known beginning."""
+    out = []
+    # A line's end between the texts, so that nothing is found across two of them.
+    lines = np.insert(data, offsets[1:-1], 10).tobytes()
+    starts = offsets + np.arange(len(offsets))
+    for pattern, group, least in ((_BEARER, 1, 6), (_LOGIN, 1, 6), (_PREFIXED, 0, SHORTEST)):
+        for hit in pattern.finditer(lines):
+            found = hit[group].rstrip(b"./-+")
+            row = int(np.searchsorted(starts, hit.start(), "right") - 1)
+            if len(found) >= least:
+                begin = hit.start(group) - row
+                out.append((row, begin, begin + len(found)))
+    return out
+
+
+def _runs(data: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of a key's characters, without the signs around them and the name before them."""
     found = []
-    for row, a, b in zip(rows[some].tolist(), starts[some].tolist(), ends[some].tolist()):
+    for row, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist()):
         front, rest = _trimmed(data[a:b].tobytes())
         if len(rest) >= 6:
             found.append((row, a + front, a + front + len(rest)))
-    return _merged(found + assigned)
+    return found
 
 
 def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

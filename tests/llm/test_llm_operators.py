@@ -320,6 +320,25 @@ def test_secrets_unquoted(spark):
     assert [len(clean[i]["findings"]) for i in range(len(cases))] == [1, 1, 2, 1]
 
 
+def test_secret_candidates_cover_the_written_secrets():
+    texts, places = [], []
+    for seed in range(60_001, 61_001, 2):
+        value, before, after = secrets._Writer(seed).secret()
+        texts.append((before + value + after).encode())
+        places.append((len(before.encode()), len((before + value.rstrip("./-+")).encode())))
+    extra = [
+        ("see ", "AKIA" + "ABCDEFGH" * 2, " here"), ("password=", "x" * 150 + "!#" + "y" * 150, " and"), ("https://me:", "hunter!two", "@db.example.org/x"),
+        ("accessToken: ", "Kugnd!WnJVq", "\n"), ("-H 'Authorization: Bearer ", "RY%RneisAA", "'"), ("a?token=", "correct!horse", "&next=1"),
+    ]
+    texts += ["".join(x).encode() for x in extra]
+    places += [(len(b), len(b + v)) for b, v, _ in extra]
+    offsets = np.cumsum([0, *map(len, texts)])
+    found = secrets.candidates(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    held = {row: [(a - offsets[row], b - offsets[row]) for r, a, b in found if r == row] for row, *_ in found}
+    assert all(any(a <= low and high <= b for a, b in held.get(row, ())) for row, (low, high) in enumerate(places))
+    assert all(held[row] == [places[row]] for row in range(500, 506))
+
+
 def test_secrets_held_out(spark):
     forest = secrets.fitted(spark)
     x, y = [], []
