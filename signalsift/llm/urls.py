@@ -124,8 +124,10 @@ def judged(df: DataFrame, rules: list[Rule], default: str = "allow", url: str =
     if default not in VERDICTS or any(r.verdict not in VERDICTS for r in rules):
         raise ValueError(f"verdicts are {VERDICTS}")
     host, path = url_parts(F.col(url))
-    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "rule_no")]
-    out = df.select(*kept, host.alias("host"), path.alias("path"), F.lit(-1).cast("long").alias("rule_no"))
+    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "rule_no", "__rule_rank")]
+    # The rank of the best rule so far goes from pass to pass with its number.
+    rank_so_far = F.array(*[F.lit(0).cast("long")] * 3).alias("__rule_rank")
+    out = df.select(*kept, host.alias("host"), path.alias("path"), F.lit(-1).cast("long").alias("rule_no"), rank_so_far)
     rank = [(len(r.text), len(r.host), -n) for n, r in enumerate(rules)]
     for block in _blocks(rules):
         array = DigestArray((f"{r.host}\0{r.path}".encode(), n) for n, r in reversed(block))
@@ -149,7 +151,7 @@ def _prober(shared):
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             best = batch.column("rule_no").to_numpy(zero_copy_only=False).copy()
-            ranks = {}
+            ranks = [tuple(r) for r in batch.column("__rule_rank").to_pylist()]
             texts: list[bytes] = []
             rows: list[int] = []
             for row, (host, path) in enumerate(zip(hosts, paths)):
@@ -159,9 +161,9 @@ def _prober(shared):
                     rows += [row] * len(tried)
             for k in np.flatnonzero((numbers := array.probe(texts)) >= 0):
                 row, number = rows[k], int(numbers[k])
-                if best[row] < 0 or rank[number] > ranks.get(row, rank.get(int(best[row]), (0, 0, 0))):
+                if best[row] < 0 or rank[number] > ranks[row]:
                     best[row], ranks[row] = number, rank[number]
-            columns = dict(zip(batch.schema.names, batch.columns)) | {"rule_no": pa.array(best, pa.int64())}
+            columns = dict(zip(batch.schema.names, batch.columns)) | {"rule_no": pa.array(best, pa.int64()), "__rule_rank": pa.array(ranks, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return probe

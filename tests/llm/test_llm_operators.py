@@ -260,6 +260,17 @@ def test_urls(spark):
     assert {r["rule"] for r in urls.judged(frame, []).collect()} == {None}
 
 
+def test_urls_in_blocks(spark, monkeypatch):
+    """The longest rule wins whichever pass finds it."""
+    monkeypatch.setattr(urls, "BLOCK_BYTES", 1)
+    rules = [urls.Rule("example.net", "/en/", "allow"), urls.Rule("net", "/", "block"), urls.Rule("a.example.net", "/en/", "block"), urls.Rule("net", "/", "allow")]
+    cases = {"http://example.net/en/x": "example.net/en/", "http://b.net/x": "net/", "http://a.example.net/en/": "a.example.net/en/", "http://x.org/": None}
+    frame = spark.createDataFrame([(u,) for u in cases], "url string")
+    got = {r["url"]: (r["rule"], r["verdict"]) for r in urls.judged(frame, rules).collect()}
+    verdicts = {"example.net/en/": "allow", "net/": "block", "a.example.net/en/": "block", None: "allow"}
+    assert got == {u: (rule, verdicts[rule]) for u, rule in cases.items()}
+
+
 def test_digest_array_confirms_full_strings():
     array = urls.DigestArray([(b"a", 1), (b"b", 2)])
     array.image = array.image.replace(b"ab\0", b"xy\0").replace(b"ba\0", b"yx\0")
