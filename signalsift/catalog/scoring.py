@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,8 +113,7 @@ _X = cfg.NUMERIC_FEATURES
 def _(spark, folder):
     """Which entry of the one-hot vector is 1, with a category for every order."""
     rows = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
-    made = PipelineModel(prep.as_stages(prep.fit_preparation(rows, (), ("l_orderkey",)))).transform(rows)
-    return made.select("l_orderkey", "l_linenumber", F.col("x_code_l_orderkey").cast("long").alias("place"))
+    return prep.with_places(rows, "l_orderkey").select("l_orderkey", "l_linenumber", "place")
 
 
 @query(

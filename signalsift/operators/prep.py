@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalsift.config import telemetry as cfg
+from signalsift.session import staged
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,31 @@ def category_values(df: DataFrame, column: str) -> list[str]:
     return sorted(r["c"] for r in found)
 
 
+def category_places(df: DataFrame, column: str) -> DataFrame:
+    """(category, place): the sorted distinct categories as text, numbered from 0, for columns with any number of them.
+
+    The sorted table is numbered by its parts; the driver sees one line for each part.
+    """
+    found = df.select(F.col(column).cast("string").alias("category")).filter("category is not null").distinct()
+    ordered = staged(found.orderBy("category").withColumn("at", F.monotonically_increasing_id()), "categories")
+    ordered = ordered.withColumn("part", F.shiftright("at", 33))
+    shifts, before = [], 0
+    for part in ordered.groupBy("part").agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("k")).orderBy("part").collect():
+        shifts.append((part["part"], before - part["low"]))
+        before += part["k"]
+    parts = df.sparkSession.createDataFrame(shifts, "part long, shift long")
+    return ordered.join(F.broadcast(parts), "part").select("category", (F.col("at") + F.col("shift")).alias("place"))
+
+
+def with_places(df: DataFrame, column: str, out: str = "place") -> DataFrame:
+    """Add the place of each row's category; a missing category has the number after the last one, as in ``as_stages``."""
+    places = category_places(df, column).select(F.col("category").alias("__category"), F.col("place").alias("__place"))
+    last = places.count()
+    met = df.join(places, F.col(column).cast("string") == F.col("__category"), "left")
+    kept = [c for c in df.columns if c != out]
+    return met.select(*kept, F.coalesce("__place", F.lit(last).cast("long")).alias(out))
+
+
 def fit_preparation(
     df: DataFrame,
     numeric: Sequence[str] = cfg.NUMERIC_FEATURES,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from conftest import rows
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from signalsift.catalog import QUERIES
@@ -134,6 +135,24 @@ def test_search(spark, features):
     assert train.refit_best(features, found, TREES).stages
 
 
+def test_places_are_those_of_the_string_index(spark):
+    table = spark.range(0, 500, 1, 7).selectExpr("CASE WHEN id % 50 = 0 THEN NULL ELSE id * 37 % 211 END AS c", "id", "'old' AS place")
+    model = PipelineModel(prep.as_stages(prep.fit_preparation(table, (), ("c",))))
+    expected = model.transform(table).select("id", F.col("x_code_c").cast("long"))
+    assert rows(prep.with_places(table, "c").select("id", "place")) == rows(expected)
+    assert prep.category_places(table.limit(0), "c").count() == 0
+
+
+def test_order_categories_stay_off_the_driver(spark, folder, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the categories of this query are its data")
+
+    monkeypatch.setattr(prep, "category_values", refused)
+    found = QUERIES["m5_one_hot_orders"](spark, folder)
+    orders = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert found.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first()[:] == (0, orders - 1, orders)
+
+
 def test_model_queries_train_the_configured_trees(spark, folder, monkeypatch):
     """What the registered queries ask for; only the fit itself is made small."""
     asked, whole = [], train.classifier
