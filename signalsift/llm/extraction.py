@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|object|audio|video|canvas)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements left out up to their end tag; without one, only the tag is (fixed values).
+SKIPPED = {name: re.compile(rf"</{name}\s*>", re.I) for name in "noscript template iframe svg select object audio video canvas".split()}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -56,6 +58,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
+    unclosed: set[str] = set()
     links = linked = 0
 
     def close() -> None:
@@ -88,6 +91,12 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
+        if name in SKIPPED and name not in unclosed and not token["end"] and not (name == "svg" and token["rest"].endswith("/")):
+            last = SKIPPED[name].search(page, at)
+            if last:
+                at = last.end()
+                continue
+            unclosed.add(name)
         if name in INLINE:
             if name == "br":
                 held.append("\n")

@@ -293,6 +293,17 @@ def test_extraction(spark):
     assert got[6][1] == 12 * 40_000 - 1
 
 
+def test_raw_elements_end():
+    """What stands behind self-closed, custom and unclosed elements is read."""
+    cases = {
+        "<p>a</p><svg viewBox='0 0 1 1'/><p>b</p><svg><title>x</title></svg><p>c": ["a", "b", "c"],
+        "<p>a</p><video-player src=x></video-player><p>b</p><object-x>c</object-x><script-x>d</script-x>": ["a", "b", "c", "d"],
+        "<p>a</p><video src=x><p>b</p>": ["a", "b"],
+        "<p>a</p><SVG><text>x</text></SVG ><noscript>y</noscript><p>b</p><style/>p {}</style><p>c</p><script>var x": ["a", "b", "c"],
+    }
+    assert {page: [b.text for b in extraction.blocks_of(page)] for page in cases} == cases
+
+
 def test_extraction_held_out():
     field = extraction.default_field()
     pages = [extraction._Writer(seed).page() for seed in range(5000, 5100)]
