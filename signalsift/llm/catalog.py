@@ -7,6 +7,8 @@ from signalsift.llm.chat import op2_chat_formatting
 from signalsift.llm.contamination import op10_benchmark_decontamination
 from signalsift.llm.extraction import op1_html_extraction
 from signalsift.llm.jaccard import op8_jaccard_join
+from signalsift.llm.manifest import CONTRACT_SQL as MANIFEST_SQL
+from signalsift.llm.manifest import op13_merkle_manifest
 from signalsift.llm.packing import op3_best_fit_packing
 from signalsift.llm.secrets import op6_secret_scan
 from signalsift.llm.shards import op9_sharding
@@ -32,6 +34,7 @@ _RUNS = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -39,4 +42,5 @@ QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
 
 ORACLES = {
     "op7_url_filter": URL_SQL,
+    "op13_merkle_manifest": MANIFEST_SQL,
 }
