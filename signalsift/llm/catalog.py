@@ -7,6 +7,7 @@ from signalsift.llm.chat import op2_chat_formatting
 from signalsift.llm.contamination import op10_benchmark_decontamination
 from signalsift.llm.extraction import op1_html_extraction
 from signalsift.llm.jaccard import op8_jaccard_join
+from signalsift.llm.language import op12_language_id
 from signalsift.llm.manifest import CONTRACT_SQL as MANIFEST_SQL
 from signalsift.llm.manifest import op13_merkle_manifest
 from signalsift.llm.packing import op3_best_fit_packing
@@ -34,6 +35,7 @@ _RUNS = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_language_id": op12_language_id,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
