@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from signalsift.llm.alignment import op11_cross_tokenizer_alignment
 from signalsift.llm.chat import op2_chat_formatting
 from signalsift.llm.contamination import op10_benchmark_decontamination
 from signalsift.llm.extraction import op1_html_extraction
@@ -35,6 +36,7 @@ _RUNS = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_language_id": op12_language_id,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
