@@ -22,9 +22,11 @@ import hashlib
 import os
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import public_tokenizers
@@ -48,11 +50,47 @@ HELD_PAIRS = 1 << 20
 _SLICE = 4 << 20
 _STEP = 0x9E3779B97F4A7C15
 
-#: Before a space that follows no space and is followed by what is surely not white space, and before a line
-#: end that follows a printable sign; nothing else starts a piece.
+#: Before a space that follows no space and is followed by what is surely not white space, before a line
+#: end that follows a printable sign, and before a stop that follows a letter; nothing else starts a piece.
 _PIECES = re.compile(
-    rb"[\s\S](?:[^ \n]+|(?<= ) | (?![!-~\xc3-\xe0\xe4-\xf4])|(?<![!-~])\n)*"
+    rb"[\s\S](?:[^ \n.,:;!?]+|(?<= ) | (?![!-~\xc3-\xe0\xe4-\xf4])|(?<![!-~])\n|(?<![A-Za-z])(?<!\xc3[\xa0-\xb6])[.,:;!?])*"
 )
+_STOPPED = re.compile("[A-Za-zà-ö][.,:;!?]")
+
+
+#: Pieces that are tokenised together, with a line's end between them: a space, then no white space of any kind.
+_PLAIN = re.compile(rb" (?:[!-~]|[\xc3-\xdf][\x80-\xbf])+")
+_TOGETHER = 200
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+def _different(x: np.ndarray) -> np.ndarray:
+    """The different numbers in order; numpy's own hashes integers, which is slower for long arrays."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _flat(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All entries' bytes one after the other, and their sizes."""
+    return np.frombuffer(b"".join(entries), np.uint8), np.fromiter(map(len, entries), np.int64, len(entries))
+
+
+def _spelled(text: np.ndarray, lengths: np.ndarray, flat: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether each piece is what its tokens' entries spell."""
+    at = np.concatenate([[0], np.cumsum(counts)])
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+    good = np.diff(ends[at]) == lengths
+    # The others are compared byte by byte.
+    kept = np.repeat(good, counts)
+    made = flat[ranges((np.cumsum(sizes) - sizes)[ids[kept]], sizes[ids[kept]])]
+    same = made == text[np.repeat(good, lengths)]
+    wrong = np.concatenate([[0], np.cumsum(~same)])[np.concatenate([[0], np.cumsum(lengths * good)])]
+    return good & (np.diff(wrong) == 0)
 
 
 def byte_letters() -> dict[str, int]:
@@ -86,16 +124,19 @@ class Aligner:
             for i, e in enumerate(entries)
         ]
         self.space = self.b.piece_to_id("▁")
-        #: Whether pieces may be cut at all: no entry of B looks across a word's start or a line's end.
-        self.cuts = all("▁" not in e.lstrip("▁") and "\n" not in e for e in entries)
-        self.a_sizes = np.array([len(e) for e in self.a_bytes], np.int64)
-        self.b_sizes = np.array([len(e) for e in self.b_bytes], np.int64)
+        #: Whether pieces may be cut at all: no entry of B looks across a word's start, a line's end or a stop.
+        self.cuts = all("▁" not in e.lstrip("▁") and "\n" not in e and not _STOPPED.search(e) for e in entries)
+        self.a_flat, self.a_sizes = _flat(self.a_bytes)
+        self.b_flat, self.b_sizes = _flat(self.b_bytes)
+        self.a_digits, self.b_digits = _flat([b"%d," % i for i in range(len(self.a_bytes))]), _flat([b"%d," % i for i in range(self.b_size)])
+        #: What a line's end is to each, if it is one token that nothing else holds.
+        self.a_line, self.b_line = self.a.token_to_id(next(k for k, v in letters.items() if v == 10)), self.b.piece_to_id("<0x0A>")
         self.generation = 0
         self._forget()
 
     def _forget(self) -> None:
         self.generation += 1
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
         self.texts: list[bytes] = []
         self.held = 0
         #: Per piece: tokens of A, tokens of B, groups, links; -1 for tokens where it has no alignment.
@@ -107,68 +148,112 @@ class Aligner:
         """The pieces of a space and a text."""
         return _PIECES.findall(b" " + text) if self.cuts else [b" " + text]
 
-    def _tokens(self, pieces: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        # B writes the first space itself; before a line's end it is not ours.
-        b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        return a, [ids if t[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for t, ids in zip(texts, b)]
+    def _side(self, encode, line: int, texts: list[str]) -> tuple[list[int], np.ndarray]:
+        """Ids of many texts without line ends, and their numbers of ids: many in one call, with lines between them."""
+        flat: list[int] = []
+        sizes = []
+        for at in range(0, len(texts), _TOGETHER):
+            part = texts[at : at + _TOGETHER]
+            ids = np.array(encode("\n".join(part)), np.int64)
+            ends = np.append(np.flatnonzero(ids == line), len(ids))
+            if len(ends) != len(part):
+                raise ValueError("a line end is not one token")
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            flat.append(ids[ids != line])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _tokens(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of all pieces, and how many each piece has."""
+        plain = np.fromiter(map(_PLAIN.fullmatch, pieces), object, len(pieces)).astype(bool) & self.cuts
+        own = np.flatnonzero(~plain).tolist()
+        a_ids, a_sizes, b_ids, b_sizes = [], np.zeros(len(pieces), np.int64), [], np.zeros(len(pieces), np.int64)
+        held = np.flatnonzero(plain)
+        if len(held):
+            texts = [pieces[i].decode() for i in held.tolist()]
+            ids, a_sizes[held] = self._side(lambda t: self.a.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.a_line, texts)
+            a_ids.append(ids)
+            # B writes the first space of a text itself.
+            ids, b_sizes[held] = self._side(lambda t: self.b.encode(t[1:], num_threads=1), self.b_line, texts)
+            b_ids.append(ids)
+        order = np.concatenate([held, own]).astype(np.int64)
+        if own:
+            texts = [pieces[i].decode("utf-8", "replace") for i in own]
+            a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            # Behind a line's end B writes no space of its own; the space before that and the line's end are not ours.
+            b = self.b.encode([t[1:] if t[0] == " " else f"\n{t}" for t in texts], num_threads=1)
+            before = [self.space, self.b_line]
+            b = [ids if t[0] == " " else ids[2:] if ids[:2] == before else [] for t, ids in zip(texts, b)]
+            a_sizes[own], b_sizes[own] = [len(x) for x in a], [len(x) for x in b]
+            a_ids.append(np.fromiter((i for x in a for i in x), np.int64))
+            b_ids.append(np.fromiter((i for x in b for i in x), np.int64))
+        # Back to the order of the pieces.
+        out = []
+        for ids, sizes in ((a_ids, a_sizes), (b_ids, b_sizes)):
+            ends = np.zeros(len(pieces), np.int64)
+            ends[order] = np.cumsum(sizes[order])
+            out += [np.concatenate(ids)[ranges(ends - sizes, sizes)], sizes]
+        return tuple(out)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        a, b = self._tokens(pieces)
-        good = [
-            b"".join(map(self.a_bytes.__getitem__, x)) == p == b"".join(map(self.b_bytes.__getitem__, y))
-            for p, x, y in zip(pieces, a, b)
-        ]
-        a, b = ([x if g else [] for x, g in zip(side, good)] for side in (a, b))
-        n_a, n_b = (np.fromiter(map(len, side), np.int64, len(pieces)) for side in (a, b))
-        a_ids = np.fromiter((i for x in a for i in x), np.int64, n_a.sum())
-        b_ids = np.fromiter((i for x in b for i in x), np.int64, n_b.sum())
+        a_ids, n_a, b_ids, n_b = self._tokens(pieces)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        a_good = _spelled(text, lengths, self.a_flat, self.a_sizes, a_ids, n_a)
+        good = a_good & _spelled(text, lengths, self.b_flat, self.b_sizes, b_ids, n_b)
+        if not good.all():
+            a_ids, b_ids = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
         a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
         a_starts = a_ends - self.a_sizes[a_ids]
         first = np.searchsorted(b_ends, a_starts, "right")
         linked = np.searchsorted(b_ends, a_ends, "left") - first + 1
-        before = np.cumsum(linked) - linked
-        links = np.repeat(a_ids, linked) * self.b_size + b_ids[np.repeat(first - before, linked) + np.arange(linked.sum())]
+        links = np.repeat(a_ids, linked) * self.b_size + b_ids[ranges(first, linked)]
         # Groups end where tokens of both end.
-        shared = np.isin(a_ends, b_ends, assume_unique=True)
         a_at, b_at = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
-        a_cuts = np.flatnonzero(shared) + 1
-        b_cuts = np.searchsorted(b_ends, a_ends[shared], "left") + 1
-        groups = np.diff(np.searchsorted(a_cuts, a_at, "right"))
+        place = np.minimum(np.searchsorted(b_ends, a_ends), max(0, len(b_ends) - 1))
+        a_last = b_ends[place] == a_ends if len(b_ends) else np.zeros(0, bool)
+        b_last = np.zeros(len(b_ids), bool)
+        b_last[place[a_last]] = True
+        groups = np.diff(np.concatenate([[0], np.cumsum(a_last)])[a_at])
         links_at = np.concatenate([[0], np.cumsum(linked)])[a_at]
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        a_cuts, b_cuts = [0, *a_cuts.tolist()], [0, *b_cuts.tolist()]
-        told = [
-            f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}"
-            for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])
-        ]
-        at = 0
-        for piece, size in zip(pieces, groups.tolist()):
-            self.number[piece] = len(self.texts)
-            self.texts.append(";".join(told[at : at + size]).encode())
-            self.held += len(piece)
-            at += size
+        self._write(a_ids, a_last, b_ids, b_last, a_at, b_at)
+        self.held += int(lengths.sum())
         counts = np.stack([n_a, n_b, groups, np.diff(links_at)])
-        counts[0, ~np.array(good, bool)] = -1
+        counts[0, ~good] = -1
         self.counts = np.concatenate([self.counts, counts], axis=1)
         self.ends = np.concatenate([self.ends, links_at[1:] + len(self.links)])
         self.links = np.concatenate([self.links, links])
 
+    def _write(self, a_ids, a_last, b_ids, b_last, a_at, b_at) -> None:
+        """The groups' text of each piece: ids of A, ``|``, ids of B, ``;``, the last sign left out."""
+        a_group = np.cumsum(a_last) - a_last
+        b_group = np.cumsum(b_last) - b_last
+        # Behind the ids of A of a group stand those of B, so each id's place follows from the other side's counts.
+        a_before = np.concatenate([[0], np.flatnonzero(a_last) + 1])
+        b_before = np.concatenate([[0], np.flatnonzero(b_last) + 1])
+        place = np.concatenate([np.arange(len(a_ids)) + b_before[a_group], np.arange(len(b_ids)) + a_before[b_group + 1]])
+        starts, sizes = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        (a_text, a_size), (b_text, b_size) = self.a_digits, self.b_digits
+        sizes[place] = np.concatenate([a_size[a_ids], b_size[b_ids]])
+        starts[place] = np.concatenate([np.cumsum(a_size)[a_ids] - a_size[a_ids], len(a_text) + np.cumsum(b_size)[b_ids] - b_size[b_ids]])
+        written = np.concatenate([a_text, b_text])[ranges(starts, sizes)]
+        ends = np.cumsum(sizes)
+        written[ends[place[: len(a_ids)][a_last]] - 1] = ord("|")
+        written[ends[place[len(a_ids) :][b_last]] - 1] = ord(";")
+        ends = np.concatenate([[0], ends])[a_at + b_at].tolist()
+        whole = written.tobytes()
+        self.texts += [whole[i : max(i, j - 1)] for i, j in zip(ends, ends[1:])]
+
     def numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece numbers of all texts, bounds of each text, and whether it has tokens: a text is good if all its pieces are."""
         if len(self.texts) > CACHE_PIECES or self.held > CACHE_BYTES:
             self._forget()
         found = [self.pieces(t) if t else [] for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
-        flat = [p for f in found for p in f]
-        get = self.number.get
-        numbers = np.fromiter((get(p, -1) for p in flat), np.int64, len(flat))
-        new = np.flatnonzero(numbers < 0)
-        if len(new):
-            self._learn(list(dict.fromkeys(flat[i] for i in new)))
-            for i in new:
-                numbers[i] = self.number[flat[i]]
+        # A piece that is not known gets the next number.
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, int(bounds[-1]))
+        if len(self.number) > len(self.texts):
+            self._learn(list(islice(self.number, len(self.texts), None)))
         bad = np.concatenate([[0], np.cumsum(self.counts[0, numbers] < 0)])
         good = (bad[bounds[1:]] == bad[bounds[:-1]]) & (np.diff(bounds) > 0)
         return numbers, bounds, good
@@ -180,12 +265,6 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after the other."""
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
-
-
 def document_pairs(known: Aligner, texts: list[bytes]) -> np.ndarray:
     """The pairs of each text, each once for a text, in any order."""
     numbers, bounds, good = known.numbered(texts)
@@ -193,12 +272,12 @@ def document_pairs(known: Aligner, texts: list[bytes]) -> np.ndarray:
     keep = good[doc]
     doc, numbers = doc[keep], numbers[keep]
     pieces = len(known.texts)
-    once = np.unique(doc * pieces + numbers)
+    once = _different(doc * pieces + numbers)
     doc, numbers = once // pieces, once % pieces
     sizes = known.ends[numbers + 1] - known.ends[numbers]
     pairs = known.links[ranges(known.ends[numbers], sizes)]
     span = len(known.a_bytes) * known.b_size
-    return np.unique(np.repeat(doc, sizes) * span + pairs) % span
+    return _different(np.repeat(doc, sizes) * span + pairs) % span
 
 
 def _summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ A, B = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.
 ODD = [
     None, "", " ", "  ", "\n", "a", " a", "a ", "a  b", "a \n b", "a\n\nb", "x\n\n\ny z", "tab\tand\r\nline", "it's 'quoted' 's",
     "<|endoftext|> </s> <unk> <0x0A>", "▁ literal ▁", "日本語の文章 です", "café naïve ÀÉ", "１２ ﬁ", " nbsp  x　y", "emoji 👩‍👩‍👧 ok",
-    "é comb", "... --- !!!", "1234567890 42", "\x00 null \x1f", "a b  c", "Ω≈ç√ ∫", "word " * 3000, "b" * 3000, "¿qué? ¡sí!", " \n\n  \t x", "end\n",
+    "é comb", "... --- !!!", "1234567890 42", "\x00 null \x1f", "a b  c", "Ω≈ç√ ∫", "word " * 3000, "b" * 3000, "¿qué? ¡sí!", " \n\n  \t x", "end\n", "x\u00a0 y\u00a0 z\u0085 w", "end.of:a;word!? x.y.z é. É, 👩. 1.5 (a).b", ".", ". a", "a.", "\n.", "a\u3000 b\u2003 c",
 ]
 
 
@@ -96,7 +96,7 @@ def rows(spark):
     table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     docs = [(r["doc_id"], r["text"]) for r in table][:60]
     random.seed(5)
-    alphabet = ["a", "b", "the", "  ", " ", " ", "\n", "\t", "é", "日", "1", "'s", "<", "▁", " ", "ing", ".", "-"]
+    alphabet = ["a", "b", "the", "  ", " ", " ", "\n", "\t", "é", "日", "1", "'s", "<", "▁", " ", "ing", ".", "-", ",", "!"]
     docs += [(10_000 + i, "".join(random.choices(alphabet, k=random.randint(1, 40)))) for i in range(400)]
     return docs + [(20_000 + i, t) for i, t in enumerate(ODD)] + [(1, "twice the same"), (1, "twice the same"), (None, "no id")]
 
