@@ -86,14 +86,15 @@ def _comparer(threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in runs(batches, ["table", "size", "sign", "low", "high"]):
             columns = {c: table.column(c).combine_chunks() for c in table.column_names}
-            units = np.concatenate([x for _, x in _matrix(columns["vector"])], axis=0) if table.num_rows else None
-            same_size = len(_matrix(columns["vector"])) == 1
+            # Blocks hold vectors of one size; where all rows do, they are read at once.
+            parts = _matrix(columns["vector"])
+            units = parts[0][1] if len(parts) == 1 else None
             reps, mult, place, own = (columns[c].to_numpy(zero_copy_only=False) for c in ("rep", "mult", "table", "block"))
             low, high = (columns[c].to_numpy(zero_copy_only=False) for c in ("low", "high"))
             signs = columns["signs"].flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for start, stop in zip(cuts[:-1], cuts[1:]):
-                x = units[start:stop] if same_size else _matrix(columns["vector"][start:stop])[0][1]
+                x = units[start:stop] if units is not None else _matrix(columns["vector"][start:stop])[0][1]
                 if low[start] == high[start]:
                     i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
                 else:
