@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -88,6 +89,16 @@ def released(*copies: DataFrame) -> None:
         removed(copy.sparkSession, copy.staged_path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now.
+
+    Spark removes them when the driver's collector finds that nothing refers to
+    them any more, which a driver with little to do may not notice for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
