@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalsift.session import staged
+from signalsift.session import released, staged
 
 #: Rounds after which something must be wrong; each one shortens all paths.
 MAX_ROUNDS = 60
@@ -52,7 +52,8 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     for _ in range(MAX_ROUNDS):
         stars = _small_star(_large_star(now)).where("a <> b").distinct()
-        now = staged(stars, "links")
+        last, now = now, staged(stars, "links")
+        released(last)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
