@@ -25,10 +25,14 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry_events(spark, folder)
 
 
+def predicted(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction table of the events view: label and score."""
+    return events(spark, folder).withColumn("y_true", F.col("lab_anom").cast("int"))
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Prediction table of the events view: label, score, fold of the scenario."""
-    t = folds.assign_folds(events(spark, folder))
-    return t.withColumn("y_true", F.col("lab_anom").cast("int"))
+    """The same with the fold of the scenario."""
+    return folds.assign_folds(predicted(spark, folder))
 
 
 # --- preparation -------------------------------------------------------------
@@ -201,7 +205,7 @@ def _(spark, folder):
 
 @query("t7_decisions", f"WITH {q.PRED} SELECT row_id, CAST(CASE WHEN y_prob >= CAST({T} AS DOUBLE) THEN 1 ELSE 0 END AS INTEGER) AS y_pred FROM pred")
 def _(spark, folder):
-    return metrics.decide(scored(spark, folder), T).select("row_id", "y_pred")
+    return metrics.decide(predicted(spark, folder), T).select("row_id", "y_pred")
 
 
 def areas_sql(source: str, by: str = "") -> str:
@@ -221,12 +225,12 @@ FROM (
 
 @query("t8_roc_auc", asked(q.PRED, areas_sql("pred"), ["roc_auc"], ["n_positive", "n_negative"]))
 def _(spark, folder):
-    return rounded(metrics.rank_metrics(scored(spark, folder)).select("roc_auc", "n_positive", "n_negative"))
+    return rounded(metrics.rank_metrics(predicted(spark, folder)).select("roc_auc", "n_positive", "n_negative"))
 
 
 @query("t9_average_precision", asked(q.PRED, areas_sql("pred"), ["pr_auc"]))
 def _(spark, folder):
-    return rounded(metrics.rank_metrics(scored(spark, folder)).select("pr_auc"))
+    return rounded(metrics.rank_metrics(predicted(spark, folder)).select("pr_auc"))
 
 
 @query("t8_roc_auc_sliced", asked(q.PRED, areas_sql("pred", "fold"), ["roc_auc", "pr_auc"], ["fold", "n_positive", "n_negative"]))
@@ -282,7 +286,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return metrics.confusion_matrix(scored(spark, folder), T)
+    return metrics.confusion_matrix(predicted(spark, folder), T)
 
 
 _SIDES = {
@@ -310,7 +314,7 @@ SELECT 'accuracy', {q.RATES['accuracy']}, {q.RATES['accuracy']}, {q.RATES['accur
     asked(f"{q.PRED}, c AS ({q.counts_at('pred', [T])})", _report_sql(), ["precision", "recall", "f1"], ["class", "CAST(support AS BIGINT) AS support"]),
 )
 def _(spark, folder):
-    return rounded(metrics.classification_report(scored(spark, folder), T))
+    return rounded(metrics.classification_report(predicted(spark, folder), T))
 
 
 @query("t16_pooled_predictions", asked(q.PRED, "SELECT fold, row_id, y_true, y_prob FROM pred", ["y_prob"], ["fold", "row_id", "CAST(y_true AS INTEGER) AS y_true"]))
@@ -336,7 +340,7 @@ _RANKED = """ranked AS (SELECT y_prob, sum(pos) OVER w AS tp, sum(neg) OVER w AS
     + " UNION ALL SELECT CAST('Infinity' AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)",
 )
 def _(spark, folder):
-    points = metrics.roc_points(scored(spark, folder))
+    points = metrics.roc_points(predicted(spark, folder))
     cells = [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("fpr", "tpr")]
     limit = F.when(F.col("threshold") < 2, F.round("threshold", 6)).otherwise(F.col("threshold"))
     return points.select(limit.alias("threshold"), *cells)
@@ -351,7 +355,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return rounded(metrics.precision_recall_points(scored(spark, folder)))
+    return rounded(metrics.precision_recall_points(predicted(spark, folder)))
 
 
 @query(
@@ -364,7 +368,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return rounded(metrics.calibration(scored(spark, folder)))
+    return rounded(metrics.calibration(predicted(spark, folder)))
 
 
 @query(
@@ -376,7 +380,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return rounded(metrics.score_distribution(scored(spark, folder)))
+    return rounded(metrics.score_distribution(predicted(spark, folder)))
 
 
 @query(
@@ -394,7 +398,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return rounded(metrics.class_overlap(scored(spark, folder)))
+    return rounded(metrics.class_overlap(predicted(spark, folder)))
 
 
 @query(
@@ -418,7 +422,7 @@ _COUNTS = ["tp", "fp", "tn", "fn"]
     asked(q.PRED, f"SELECT threshold, f2_score, f1_score, precision, recall, fpr AS far FROM ({q.rates_of(q.counts_at('pred', cfg.SWEEP))}) x", [*_CURVE[:-1], "far"]),
 )
 def _(spark, folder):
-    return rounded(threshold.threshold_sweep(scored(spark, folder)))
+    return rounded(threshold.threshold_sweep(predicted(spark, folder)))
 
 
 @query("h2_f_beta", asked(q.PRED, f"SELECT fold, {q.RATES['f2_score']} AS f2, {q.RATES['f1_score']} AS f1 FROM ({q.counts_at('pred', [T], 'fold')}) c", ["f2", "f1"], ["fold"]))
@@ -440,7 +444,7 @@ _BEST = f"best AS (SELECT *, threshold AS optimal_threshold, 60 / nullif(far_per
     asked(f"{q.PRED}, {_SWEPT}, {_BEST}", "SELECT * FROM best", ["optimal_threshold", *q.RATES, "minutes_between_false_alarms"], [*_COUNTS, "status"]),
 )
 def _(spark, folder):
-    return rounded(threshold.best_f2(scored(spark, folder)))
+    return rounded(threshold.best_f2(predicted(spark, folder)))
 
 
 _OPER = ["fpr", "far_per_hour", "total_alerts_per_hour", "minutes_between"]
@@ -462,7 +466,7 @@ def _(spark, folder):
 
 @query("h5_far_at_thresholds", asked(q.PRED, q.rates_of(q.counts_at("pred", cfg.FAR_THRESHOLDS)), _ALL, _COUNTS))
 def _(spark, folder):
-    return rounded(threshold.threshold_metrics(scored(spark, folder)))
+    return rounded(threshold.threshold_metrics(predicted(spark, folder)))
 
 
 def _budget_sql(budgets) -> str:
@@ -474,7 +478,7 @@ SELECT * FROM (
 
 @query("h6_budgets", asked(f"{q.PRED}, {_SWEPT}", _budget_sql(cfg.FAR_BUDGETS), ["budget", *_ALL], _COUNTS))
 def _(spark, folder):
-    return rounded(threshold.within_budget(threshold.threshold_metrics(scored(spark, folder), cfg.SWEEP)))
+    return rounded(threshold.within_budget(threshold.threshold_metrics(predicted(spark, folder), cfg.SWEEP)))
 
 
 @query("h7_recommendation", asked(f"{q.PRED}, {_SWEPT}", _budget_sql([cfg.SUSTAINABLE_FAR]), ["budget", *_ALL], _COUNTS))
@@ -511,13 +515,13 @@ def _(spark, folder):
 def _(spark, folder):
     from signalsift.functions.grades import alarm_grade
 
-    m = threshold.threshold_metrics(scored(spark, folder), cfg.SWEEP)
+    m = threshold.threshold_metrics(predicted(spark, folder), cfg.SWEEP)
     return rounded(m.select("threshold", alarm_grade(F.col("far_per_hour")).alias("status")))
 
 
 @query("h11_fixed_threshold", asked(f"{q.PRED}", f"SELECT *, {_GRADE} FROM ({q.rates_of(q.counts_at('pred', [cfg.BASE_THRESHOLD]))}) x", _ALL, [*_COUNTS, "status"]))
 def _(spark, folder):
-    return rounded(threshold.at_threshold(scored(spark, folder)))
+    return rounded(threshold.at_threshold(predicted(spark, folder)))
 
 
 # --- false alarms ------------------------------------------------------------
@@ -528,7 +532,7 @@ def _(spark, folder):
     f"WITH {q.PRED} SELECT row_id, 'high' AS cohort FROM pred WHERE y_true = 0 AND y_prob >= 0.5 UNION ALL SELECT row_id, 'low' FROM pred WHERE y_true = 0 AND y_prob < 0.5",
 )
 def _(spark, folder):
-    t = scored(spark, folder)
+    t = predicted(spark, folder)
     high = investigate.false_alarms(t, 0.5).select("row_id", F.lit("high").alias("cohort"))
     return high.unionByName(investigate.quiet_normals(t, 0.5).select("row_id", F.lit("low").alias("cohort")))
 
@@ -542,7 +546,7 @@ _SIZES = f"""SELECT v.t AS threshold, count(*) FILTER (y_true = 0) AS n_normal,
 
 @query("i1_cohort_sizes", asked(q.PRED, _SIZES, ["threshold", "high_pct", "low_pct", "high_mean_prob", "anomaly_mean_prob"], ["n_normal", "n_high", "n_low"]))
 def _(spark, folder):
-    return rounded(investigate.cohort_sizes(scored(spark, folder)))
+    return rounded(investigate.cohort_sizes(predicted(spark, folder)))
 
 
 _BY_SCENARIO = """SELECT scenario_id, count(*) FILTER (y_true = 0 AND y_prob >= 0.5) AS n_high, count(*) FILTER (y_true = 0) AS n_normal,
@@ -551,7 +555,7 @@ _BY_SCENARIO = """SELECT scenario_id, count(*) FILTER (y_true = 0 AND y_prob >=
 
 @query("i2_alarms_by_scenario", asked(q.PRED, _BY_SCENARIO, ["false_alarm_rate"], ["scenario_id", "n_high", "n_normal"]))
 def _(spark, folder):
-    return rounded(investigate.alarms_by_scenario(scored(spark, folder)))
+    return rounded(investigate.alarms_by_scenario(predicted(spark, folder)))
 
 
 @query(
@@ -564,14 +568,28 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return rounded(investigate.concentration(scored(spark, folder)))
+    return rounded(investigate.concentration(predicted(spark, folder)))
+
+
+# Windows with all their features, a label and a score made of their place and time.
+FPRED = f"""{q.WIN},
+fpred AS (SELECT *, weak_label AS y_true, CAST(0.25 AS DOUBLE) * weak_label
+  + CAST(0.75 AS DOUBLE) * (CAST((window_no * 7919 + mcs_ul_mode * 104729) % 997 AS DOUBLE) / 997) AS y_prob FROM feat)"""
+
+
+def scored_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """All features of each window, with a label and a score."""
+    t = staged(feature_rows(spark, folder, "window_no"))
+    place = (F.col("window_no") * 7919 + F.col("mcs_ul_mode") * 104729) % 997
+    score = F.lit(0.25) * F.col("weak_label") + F.lit(0.75) * (place.cast("double") / 997)
+    return t.withColumn("y_true", F.col("weak_label").cast("int")).withColumn("y_prob", score)
 
 
 def _contrast_sql(t: float) -> str:
     rows = [
         f"SELECT '{f}' AS feature, avg({f}) FILTER (y_prob >= {t}) AS hm, avg({f}) FILTER (y_prob < {t}) AS lm, "
-        f"stddev_samp({f}) FILTER (y_prob >= {t}) AS hs, stddev_samp({f}) FILTER (y_prob < {t}) AS ls FROM pred WHERE y_true = 0"
-        for f in FEATURES
+        f"stddev_samp({f}) FILTER (y_prob >= {t}) AS hs, stddev_samp({f}) FILTER (y_prob < {t}) AS ls FROM fpred WHERE y_true = 0"
+        for f in _X
     ]
     return (
         "SELECT feature, hm AS high_prob_mean, lm AS low_prob_mean, hm - lm AS diff, "
@@ -583,18 +601,18 @@ def _contrast_sql(t: float) -> str:
 _CONTRAST = ["high_prob_mean", "low_prob_mean", "diff", "effect_size"]
 
 
-@query("i4_feature_contrast", asked(q.PRED, _contrast_sql(0.5), _CONTRAST, ["feature"]))
+@query("i4_feature_contrast", asked(FPRED, _contrast_sql(0.5), _CONTRAST, ["feature"], 8))
 def _(spark, folder):
-    return rounded(investigate.feature_contrast(scored(spark, folder), FEATURES, 0.5))
+    return rounded(investigate.feature_contrast(scored_windows(spark, folder), _X, 0.5), 8)
 
 
-@query("i4_top_features", asked(q.PRED, f"SELECT * FROM ({_contrast_sql(0.5)}) c ORDER BY effect_size DESC, feature LIMIT 5", _CONTRAST, ["feature"]))
+@query("i4_top_features", asked(FPRED, f"SELECT * FROM ({_contrast_sql(0.5)}) c ORDER BY effect_size DESC, feature LIMIT 10", _CONTRAST, ["feature"], 8))
 def _(spark, folder):
-    return rounded(investigate.strongest(investigate.feature_contrast(scored(spark, folder), FEATURES, 0.5), 5))
+    return rounded(investigate.strongest(investigate.feature_contrast(scored_windows(spark, folder), _X, 0.5)), 8)
 
 
 _LIKE = "SELECT feature, h AS high_prob_normal_mean, a AS anomaly_mean, abs(h - a) AS absolute_diff FROM (" + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, avg({f}) FILTER (y_true = 0 AND y_prob >= 0.5) AS h, avg({f}) FILTER (y_true = 1) AS a FROM pred" for f in FEATURES
+    f"SELECT '{f}' AS feature, avg({f}) FILTER (y_true = 0 AND y_prob >= 0.5) AS h, avg({f}) FILTER (y_true = 1) AS a FROM fpred" for f in _X
 ) + ") x"
 _LIKE_COLUMNS = ["high_prob_normal_mean", "anomaly_mean", "absolute_diff"]
 
@@ -602,29 +620,29 @@ _LIKE_COLUMNS = ["high_prob_normal_mean", "anomaly_mean", "absolute_diff"]
 @query(
     "i5_anomaly_likeness",
     asked(
-        f"{q.PRED}, l AS ({_LIKE})",
-        "SELECT * FROM (SELECT *, 'similar' AS side FROM l ORDER BY absolute_diff, feature LIMIT 4) n UNION ALL "
-        "SELECT * FROM (SELECT *, 'different' AS side FROM l ORDER BY absolute_diff DESC, feature DESC LIMIT 3) f",
-        _LIKE_COLUMNS, ["feature", "side"],
+        f"{FPRED}, l AS ({_LIKE})",
+        "SELECT * FROM (SELECT *, 'similar' AS side FROM l ORDER BY absolute_diff, feature LIMIT 10) n UNION ALL "
+        "SELECT * FROM (SELECT *, 'different' AS side FROM l ORDER BY absolute_diff DESC, feature DESC LIMIT 5) f",
+        _LIKE_COLUMNS, ["feature", "side"], 8,
     ),
 )
 def _(spark, folder):
-    like = investigate.anomaly_likeness(scored(spark, folder), FEATURES, 0.5)
-    return rounded(investigate.likeness_extremes(like, 4, 3))
+    like = investigate.anomaly_likeness(scored_windows(spark, folder), _X, 0.5)
+    return rounded(investigate.likeness_extremes(like), 8)
 
 
 @query(
     "i6_alarm_report",
     asked(
-        f"{q.PRED}, sizes_at AS ({_SIZES})",
+        f"{FPRED}, sizes_at AS ({_SIZES.replace('FROM pred', 'FROM fpred')})",
         "SELECT c.*, s.n_normal, s.n_high, s.high_pct FROM (" + " UNION ALL ".join(
             f"SELECT *, CAST({t} AS DOUBLE) AS threshold FROM ({_contrast_sql(t)}) c{i}" for i, t in enumerate(cfg.REPORT_THRESHOLDS)
         ) + ") c JOIN sizes_at s ON s.threshold = c.threshold",
-        ["threshold", *_CONTRAST, "high_pct"], ["feature", "n_normal", "n_high"],
+        ["threshold", *_CONTRAST, "high_pct"], ["feature", "n_normal", "n_high"], 8,
     ),
 )
 def _(spark, folder):
-    return rounded(report.alarm_report(scored(spark, folder), FEATURES))
+    return rounded(report.alarm_report(scored_windows(spark, folder), _X), 8)
 
 
 def _cohort_histogram_sql(bins: int, top: int) -> str:
@@ -635,7 +653,7 @@ def _cohort_histogram_sql(bins: int, top: int) -> str:
   (SELECT count(*) FROM cohorts t WHERE t.cohort = r.cohort AND t.{f} IS NOT NULL
      AND least(CAST(floor((t.{f} - r.low) / (r.high - r.low) * {bins}) AS INTEGER), {bins - 1}) = b.i) AS n
 FROM (SELECT cohort, CAST(min({f}) AS DOUBLE) AS low, CAST(max({f}) AS DOUBLE) AS high, avg({f}) AS mean, count({f}) AS total FROM cohorts GROUP BY cohort) r, range({bins}) b(i)"""
-        for f in FEATURES
+        for f in _X
     ]
     return (
         "SELECT h.*, n / (total * (bin_high - bin_low)) AS density FROM (" + " UNION ALL ".join(parts) + ") h "
@@ -646,12 +664,12 @@ FROM (SELECT cohort, CAST(min({f}) AS DOUBLE) AS low, CAST(max({f}) AS DOUBLE) A
 @query(
     "i7_cohort_histograms",
     asked(
-        f"{q.PRED}, cohorts AS (SELECT *, CASE WHEN y_true = 1 THEN 'anomaly' WHEN y_prob >= 0.5 THEN 'high' ELSE 'low' END AS cohort FROM pred)",
-        _cohort_histogram_sql(30, 6), ["bin_low", "bin_high", "mean", "density"], ["cohort", '"column"', "bin", "n"],
+        f"{FPRED}, cohorts AS (SELECT *, CASE WHEN y_true = 1 THEN 'anomaly' WHEN y_prob >= 0.5 THEN 'high' ELSE 'low' END AS cohort FROM fpred)",
+        _cohort_histogram_sql(30, 6), ["bin_low", "bin_high", "mean", "density"], ["cohort", '"column"', "bin", "n"], 8,
     ),
 )
 def _(spark, folder):
-    return rounded(investigate.cohort_histograms(scored(spark, folder), FEATURES))
+    return rounded(investigate.cohort_histograms(scored_windows(spark, folder), _X), 8)
 
 
 @query("i8_prediction_sink", asked(q.PRED, "SELECT fold, count(*) AS n, sum(y_true) AS positives, avg(y_prob) AS mean_score FROM pred GROUP BY 1", ["mean_score"], ["fold", "n", "CAST(positives AS BIGINT) AS positives"]))

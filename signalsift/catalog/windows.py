@@ -38,8 +38,12 @@ def event_counts(spark: SparkSession, folder: str) -> DataFrame:
     return windows.count_windows(telemetry_events(spark, folder), EVENT_ORDER)
 
 
-def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return features.feature_table(event_table(spark, folder))
+def feature_rows(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """The feature table of the events view, with ``more`` columns of its windows."""
+    made = features.feature_table(event_table(spark, folder))
+    if not more:
+        return made
+    return made.join(event_counts(spark, folder).select(*KEY, *more), KEY)
 
 
 @query(

@@ -2,8 +2,8 @@
 
 Cohorts at a threshold: ``high`` are normals at or above it (the false
 alarms), ``low`` the other normals, ``anomaly`` the true ones. Features are
-contrasted by one wide aggregate with a condition per cohort; only its single
-row is turned into rows.
+contrasted by a cube of moments: one aggregate by label and number of thresholds
+reached, whose few cells are merged for each threshold.
 """
 
 from __future__ import annotations
@@ -94,56 +94,93 @@ def feature_contrast(df: DataFrame, features: Sequence[str], threshold: float) -
     return feature_contrasts(df, features, [threshold]).drop("threshold", "n_normal", "n_high", "high_pct")
 
 
-def feature_contrasts(df: DataFrame, features: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
-    """``feature_contrast`` at each threshold, with the cohort sizes: one scan for all of them."""
-    aggs, rows = [F.count_if(_normal()).alias("normal")], []
-    for k, threshold in enumerate(thresholds):
-        aggs.append(F.count_if(_high(threshold)).alias(f"high{k}"))
-        for i, f in enumerate(features):
-            for cohort, member in (("h", _high(threshold)), ("l", _low(threshold))):
-                v = F.when(member, F.col(f).cast("double"))
-                aggs += [F.avg(v).alias(f"m{cohort}{k}_{i}"), F.stddev_samp(v).alias(f"s{cohort}{k}_{i}")]
-            diff = F.col(f"mh{k}_{i}") - F.col(f"ml{k}_{i}")
-            pooled = F.sqrt((F.pow(f"sh{k}_{i}", F.lit(2)) + F.pow(f"sl{k}_{i}", F.lit(2))) / 2)
-            rows.append(
-                F.struct(
-                    F.lit(f).alias("feature"),
-                    F.col(f"mh{k}_{i}").alias("high_prob_mean"),
-                    F.col(f"ml{k}_{i}").alias("low_prob_mean"),
-                    diff.alias("diff"),
-                    F.abs(F.when(pooled > 0, ratio(diff, pooled)).otherwise(0.0)).alias("effect_size"),
-                    F.lit(float(threshold)).alias("threshold"),
-                    F.col("normal").alias("n_normal"),
-                    F.col(f"high{k}").alias("n_high"),
-                    (ratio_or_zero(F.col(f"high{k}"), F.col("normal")) * 100).alias("high_pct"),
-                )
-            )
-    return df.agg(*aggs).select(F.inline(F.array(*rows))).where("n_high > 0")
-
+def cohort_moments(df: DataFrame, features: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """Count, mean and squared deviations of each feature by label and number of thresholds reached.
 
-def strongest(contrast: DataFrame, k: int = 10) -> DataFrame:
-    return contrast.orderBy(F.col("effect_size").desc(), F.col("feature").asc()).limit(k)
-
-
-def anomaly_likeness(df: DataFrame, features: Sequence[str], threshold: float) -> DataFrame:
-    """Mean of false alarms against mean of anomalies per feature."""
-    aggs = [F.count_if(_high(threshold)).alias("__high")]
+    Columns ``label``, ``level``, ``rows`` and a struct ``(n, mean, ss)`` per feature (``f0`` …). This is
+    all that the contrasts at any of the thresholds need: one narrow aggregate, a few groups.
+    """
+    level = sum((F.coalesce(reached(t), F.lit(False)).cast("int") for t in sorted(thresholds)), F.lit(0))
+    aggs = []
     for i, f in enumerate(features):
         v = F.col(f).cast("double")
-        aggs += [
-            F.avg(F.when(_high(threshold), v)).alias(f"h{i}"),
-            F.avg(F.when(F.col(LABEL) == 1, v)).alias(f"a{i}"),
-        ]
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}")]
+    cells = df.groupBy(F.col(LABEL).alias("label"), level.alias("level")).agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    # One row per feature from here on: a few groups, so nothing is large any more.
     rows = [
         F.struct(
             F.lit(f).alias("feature"),
-            F.col(f"h{i}").alias("high_prob_normal_mean"),
-            F.col(f"a{i}").alias("anomaly_mean"),
-            F.abs(F.col(f"h{i}") - F.col(f"a{i}")).alias("absolute_diff"),
+            F.col(f"n{i}").alias("n"),
+            F.col(f"m{i}").alias("mean"),
+            (F.col(f"v{i}") * F.col(f"n{i}")).alias("ss"),
         )
         for i, f in enumerate(features)
     ]
-    return df.agg(*aggs).filter("__high > 0").select(F.inline(F.array(*rows)))
+    return cells.select("label", "level", "rows", F.inline(F.array(*rows)))
+
+
+def _merged(member: Column, name: str) -> list[Column]:
+    """Count and mean of the cells that are members."""
+    n = F.when(member, F.col("n"))
+    total = F.when(member, F.col("n") * F.col("mean"))
+    return [F.sum(n).alias(f"n_{name}"), (F.sum(total) / F.sum(n)).alias(f"m_{name}")]
+
+
+def _deviation(member: Column, mean: Column, name: str) -> Column:
+    """Sample variance of the merged cells: their own deviations, and those of their means."""
+    inner = F.when(member, F.col("ss") + F.col("n") * F.pow(F.col("mean") - mean, F.lit(2)))
+    n = F.when(member, F.col("n"))
+    return (F.sum(inner) / F.when(F.sum(n) > 1, F.sum(n) - 1)).alias(f"v_{name}")
+
+
+def feature_contrasts(df: DataFrame, features: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """``feature_contrast`` at each threshold, with the cohort sizes: one scan for all of them.
+
+    The rows are aggregated once, by label and number of thresholds reached; cohorts at a
+    threshold are merged from those cells, by the rule for moments of parts.
+    """
+    order = sorted(thresholds)
+    cells = cohort_moments(df, features, order).where("label = 0")
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(order)]))
+    cells = cells.withColumn("at", at).select("*", "at.i", "at.threshold")
+    high, low = F.col("level") > F.col("i"), F.col("level") <= F.col("i")
+    by = ["threshold", "i", "feature"]
+    # Means first: the deviations of the cells' means need them, and a sum of squares would lose digits.
+    means = cells.groupBy(*by).agg(*_merged(high, "h"), *_merged(low, "l"), F.sum("rows").alias("n_normal"), F.sum(F.when(high, F.col("rows")).otherwise(0)).alias("n_high"))
+    told = cells.join(F.broadcast(means), by).groupBy(*by, "m_h", "m_l", "n_normal", "n_high").agg(
+        _deviation(high, F.col("m_h"), "h"), _deviation(low, F.col("m_l"), "l")
+    )
+    diff, pooled = F.col("m_h") - F.col("m_l"), F.sqrt((F.col("v_h") + F.col("v_l")) / 2)
+    return told.where("n_high > 0").select(
+        "feature",
+        F.col("m_h").alias("high_prob_mean"),
+        F.col("m_l").alias("low_prob_mean"),
+        diff.alias("diff"),
+        F.abs(F.when(pooled > 0, ratio(diff, pooled)).otherwise(0.0)).alias("effect_size"),
+        "threshold",
+        "n_normal",
+        "n_high",
+        (ratio_or_zero(F.col("n_high"), F.col("n_normal")) * 100).alias("high_pct"),
+    )
+
+
+def strongest(contrast: DataFrame, k: int = 10) -> DataFrame:
+    return contrast.orderBy(F.col("effect_size").desc(), F.col("feature").asc()).limit(k)
+
+
+def anomaly_likeness(df: DataFrame, features: Sequence[str], threshold: float) -> DataFrame:
+    """Mean of false alarms against mean of anomalies per feature. No rows if there is no false alarm."""
+    cells = cohort_moments(df, features, [threshold])
+    high, anomaly = (F.col("label") == 0) & (F.col("level") > 0), F.col("label") == 1
+    told = cells.groupBy("feature").agg(
+        *_merged(high, "h"), *_merged(anomaly, "a"), F.sum(F.when(high, F.col("rows"))).alias("n_high")
+    )
+    return told.where("n_high > 0").select(
+        "feature",
+        F.col("m_h").alias("high_prob_normal_mean"),
+        F.col("m_a").alias("anomaly_mean"),
+        F.abs(F.col("m_h") - F.col("m_a")).alias("absolute_diff"),
+    )
 
 
 def likeness_extremes(likeness: DataFrame, similar: int = 10, different: int = 5) -> DataFrame:

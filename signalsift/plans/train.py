@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import math
 import random
+import threading
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalsift.config import telemetry as cfg
@@ -24,10 +26,13 @@ from signalsift.functions.numeric import ratio
 from signalsift.operators.folds import assign_folds, test_part, training_part
 from signalsift.operators.metrics import LABEL, SCORE, rank_metrics
 from signalsift.operators.prep import Preparation, as_stages, fit_preparation
-from signalsift.session import staged
+from signalsift.session import shared_folder, staged
 
 #: Parameters of the configured model that boosted trees in Spark ML do not have.
 WITHOUT_EQUIVALENT = ("reg_alpha", "reg_lambda")
+#: Training rows of a part: fewer make jobs of nothing but start-up.
+ROWS_PER_PART = 20_000
+POOL = "spark.scheduler.pool"
 
 
 def model_parameters(params: Mapping[str, float] = cfg.BOOSTING) -> tuple[dict, dict]:
@@ -80,6 +85,24 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
     return scored.select(*df.columns, vector_to_array("__probability")[1].alias(SCORE))
 
 
+@contextmanager
+def _pool(spark: SparkSession, name: str):
+    """Jobs of this thread go to a scheduler pool of their own."""
+    context = spark.sparkContext
+    before = context.getLocalProperty(POOL)
+    context.setLocalProperty(POOL, name)
+    try:
+        yield
+    finally:
+        context.setLocalProperty(POOL, before)
+
+
+def _few_parts(rows: DataFrame) -> DataFrame:
+    """A staged table in as few parts as its rows need: trees make a job for every level, each of all parts."""
+    wanted = max(1, -(-rows.count() // ROWS_PER_PART))
+    return rows.coalesce(wanted) if wanted < rows.rdd.getNumPartitions() else rows
+
+
 def train_all(
     features: DataFrame,
     params: Mapping[str, float] = cfg.BOOSTING,
@@ -88,7 +111,7 @@ def train_all(
     categorical: Sequence[str] = cfg.CATEGORICAL_FEATURES,
 ) -> PipelineModel:
     """The model for production: fitted on all rows."""
-    rows = staged(features, "features")
+    rows = _few_parts(staged(features, "features"))
     return fit_model(rows, fit_preparation(rows, numeric, categorical), params, overrides)
 
 
@@ -101,7 +124,7 @@ def held_out_scores(
     numeric: Sequence[str] = cfg.NUMERIC_FEATURES,
     categorical: Sequence[str] = cfg.CATEGORICAL_FEATURES,
     leak_free: bool = False,
-    parallel: int = 2,
+    parallel: int = 4,
 ) -> DataFrame:
     """Score every row with a model that has not seen its scenario.
 
@@ -111,7 +134,7 @@ def held_out_scores(
     used as it is; otherwise it is staged with its folds, as every fold reads
     it many times. ``parallel`` folds are trained at a time.
     """
-    rows = features if "fold" in features.columns else staged(assign_folds(features, group, folds), "folds")
+    rows = features if "fold" in features.columns else _few_parts(staged(assign_folds(features, group, folds), "folds"))
     prep = None if leak_free else fit_preparation(rows, numeric, categorical)
 
     def one(fold: int) -> DataFrame:
@@ -119,8 +142,15 @@ def held_out_scores(
         fitted = prep or fit_preparation(train, numeric, categorical)
         return score(test_part(rows, fold), fit_model(train, fitted, params, overrides))
 
+    spark = rows.sparkSession
+    outer = spark.sparkContext.getLocalProperty(POOL)
+
+    def pooled(fold: int) -> DataFrame:
+        with _pool(spark, outer or f"fold-{fold}"):
+            return one(fold)
+
     with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(one, range(1, folds + 1)))
+        parts = list(pool.map(pooled, range(1, folds + 1)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -171,6 +201,36 @@ def trial_scores(scored: DataFrame, by: Sequence[str] = ("trial",), fold: str =
     )
 
 
+TRIALS = "trial int, score double, fold_std double, params map<string,double>, problem string"
+
+
+def trained_trial(
+    rows: DataFrame,
+    number: int,
+    params: Mapping[str, float],
+    seed: int,
+    overrides: Mapping[str, object] | None = None,
+    folds: int = cfg.FOLDS,
+) -> tuple:
+    """The row of one trial. Parameters or rows that do not make a model give a NULL score and the reason."""
+    found, why = (None, None), None
+    try:
+        scored = held_out_scores(rows, {**params, "random_state": seed}, overrides, folds)
+        row = trial_scores(scored.withColumn("trial", F.lit(number))).first()
+        found = (row["score"], row["fold_std"])
+    except (IllegalArgumentException, ValueError) as problem:
+        why = str(problem)
+    return (number, *found, {k: float(v) for k, v in params.items()}, why)
+
+
+def stored_trials(spark: SparkSession, store: str) -> DataFrame:
+    """The trials that are done; an interrupted search has fewer than were asked for."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], TRIALS)
+    return spark.read.schema(TRIALS).parquet(store)
+
+
 def search(
     features: DataFrame,
     trials: int = 20,
@@ -178,27 +238,45 @@ def search(
     space: Mapping[str, tuple] = cfg.SEARCH_SPACE,
     overrides: Mapping[str, object] | None = None,
     folds: int = cfg.FOLDS,
+    store: str | None = None,
+    parallel: int = 4,
 ) -> DataFrame:
-    """Trial table (trial, score, fold_std, params, problem). A trial whose parameters or rows
-    do not make a model has a NULL score and says why; anything else that fails stops the
-    search, and so does a search without any score."""
+    """Trial table (trial, score, fold_std, params, problem), kept in the folder ``store``.
+
+    ``parallel`` trials are trained at a time, each in a scheduler pool of its own, so that with
+    fair scheduling no trial waits for the jobs of another. A trial's row is appended when it
+    ends, so a search that is started again with the same ``store`` goes on with the trials that
+    are missing. A trial whose parameters or rows do not make a model has a NULL score and
+    says why; anything else that fails stops the search, and so does a search without any score.
+    """
     spark = features.sparkSession
-    rows = staged(assign_folds(features, folds=folds), "folds")
-    results = []
-    for number, params in enumerate(draw(space, trials, seed)):
-        found, why = (None, None), None
-        try:
-            scored = held_out_scores(rows, {**params, "random_state": seed}, overrides, folds)
-            row = trial_scores(scored.withColumn("trial", F.lit(number))).first()
-            found = (row["score"], row["fold_std"])
-        except (IllegalArgumentException, ValueError) as problem:
-            why = str(problem)
-        results.append((number, *found, {k: float(v) for k, v in params.items()}, why))
-    if all(score is None for _, score, *_ in results):
-        raise ValueError(f"no trial has a score: {[why for *_, why in results]}")
-    return spark.createDataFrame(
-        results, "trial int, score double, fold_std double, params map<string,double>, problem string"
-    )
+    store = store or shared_folder(spark, "trials")
+    done = {r["trial"] for r in stored_trials(spark, store).select("trial").collect()}
+    left = [(n, p) for n, p in enumerate(draw(space, trials, seed)) if n not in done]
+    if left:
+        rows = _few_parts(staged(assign_folds(features, folds=folds), "folds"))
+        writing, stopped = threading.Lock(), threading.Event()
+
+        def one(job: tuple[int, Mapping[str, float]]) -> None:
+            number, params = job
+            if stopped.is_set():
+                return
+            try:
+                with _pool(spark, f"trial-{number}"):
+                    row = trained_trial(rows, number, params, seed, overrides, folds)
+                    # One commit at a time: two appends to a folder share its temporary part.
+                    with writing:
+                        spark.createDataFrame([row], TRIALS).coalesce(1).write.mode("append").parquet(store)
+            except BaseException:
+                stopped.set()  # no other trial is started
+                raise
+
+        with ThreadPoolExecutor(parallel) as pool:
+            list(pool.map(one, left))
+    found = stored_trials(spark, store).where(F.col("trial") < trials)
+    if found.where("score is not null").isEmpty():
+        raise ValueError(f"no trial has a score: {[r['problem'] for r in found.orderBy('trial').collect()]}")
+    return found
 
 
 def top_trials(trials: DataFrame, k: int = 10) -> DataFrame:

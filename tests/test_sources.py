@@ -179,12 +179,61 @@ def test_search_queries_try_the_whole_space(spark, folder, monkeypatch, name):
     monkeypatch.setattr(train, "held_out_scores", refused)
     with pytest.raises(ValueError, match="no trial has a score"):
         QUERIES[name](spark, folder)
-    assert asked == [(p["n_estimators"], p["max_depth"]) for p in train.draw(cfg.SEARCH_SPACE, 20)]
+    assert sorted(asked) == sorted((p["n_estimators"], p["max_depth"]) for p in train.draw(cfg.SEARCH_SPACE, 20))
 
 
-def test_failed_trials_are_kept(spark, features):
-    found = train.search(features, trials=1, overrides={"maxDepth": 99})
-    assert rows(found.select("trial", "score")) == [(0, None)]
+def _one_fails(monkeypatch, failing):
+    """Trials of the given numbers have parameters that make no model."""
+    whole, asked = train.held_out_scores, []
+
+    def held_out(rows, params, overrides=None, folds=cfg.FOLDS):
+        asked.append(params["n_estimators"])
+        bad = len(asked) in failing
+        return whole(rows, params, {**TREES, **({"maxDepth": 99} if bad else {})}, folds)
+
+    monkeypatch.setattr(train, "held_out_scores", held_out)
+    return asked
+
+
+def test_failed_trials_are_kept(spark, features, monkeypatch):
+    _one_fails(monkeypatch, {1})
+    found = train.search(features, trials=2, parallel=1).orderBy("trial").collect()
+    assert [(r["trial"], r["score"] is None, "99" in (r["problem"] or "")) for r in found] == [(0, True, True), (1, False, False)]
+    assert [r["params"]["n_estimators"] for r in found] == [p["n_estimators"] for p in train.draw(cfg.SEARCH_SPACE, 2)]
+
+
+def test_a_search_without_scores_is_an_error(spark, features):
+    with pytest.raises(ValueError, match="no trial has a score.*99"):
+        train.search(features, trials=1, overrides={"maxDepth": 99})
+
+
+def test_a_search_goes_on_where_it_stopped(spark, features, monkeypatch, tmp_path):
+    store = str(tmp_path / "trials")
+    asked = _one_fails(monkeypatch, set())
+    whole = train.trained_trial
+
+    def lost(rows, number, *more):
+        if number == 1:
+            raise RuntimeError("the driver is lost")
+        return whole(rows, number, *more)
+
+    monkeypatch.setattr(train, "trained_trial", lost)
+    with pytest.raises(RuntimeError):
+        train.search(features, trials=3, store=store, parallel=1)
+    assert rows(train.stored_trials(spark, store).select("trial")) == [(0,)] and len(asked) == 1
+    monkeypatch.setattr(train, "trained_trial", whole)
+    found = train.search(features, trials=3, store=store, parallel=2)
+    assert rows(found.select("trial")) == [(0,), (1,), (2,)] and len(asked) == 3
+    # Nothing is left to do, so nothing is trained.
+    again = train.search(features, trials=3, store=store)
+    assert rows(again.select("trial", "score")) == rows(found.select("trial", "score")) and len(asked) == 3
+
+
+def test_scores_do_not_depend_on_the_parts(spark, features, monkeypatch):
+    few = train.held_out_scores(features, overrides=TREES).select("scenario_id", "ts_start_ns", "y_prob")
+    monkeypatch.setattr(train, "ROWS_PER_PART", 10)
+    many = train.held_out_scores(features, overrides=TREES).select("scenario_id", "ts_start_ns", "y_prob")
+    assert rows(few.select("scenario_id", "ts_start_ns")) == rows(many.select("scenario_id", "ts_start_ns"))
 
 
 def test_drawn_parameters():
@@ -206,3 +255,51 @@ def test_model_parameters():
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+def test_rejected_rows_are_told_by_file_and_record(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,2\n3,4,5\n6\n"7,7",8\n9,9,9,9\n')
+    (tmp_path / "b.csv").write_text("y,x,z\n1,2,3\n1,2,3,4\n")
+    (tmp_path / "c.csv").write_text("")
+    with pytest.warns(UserWarning, match="no header"):
+        kept = tables.read_csv(spark, str(tmp_path), "file")
+    assert rows(kept.select("file", "x", "y")) == rows(
+        spark.createDataFrame([("a", "1", "2"), ("a", "6", None), ("a", "7,7", "8"), ("b", "2", "1")], "file string, x string, y string")
+    )
+    with pytest.warns(UserWarning, match="no header"):
+        bad = tables.rejected_rows(spark, str(tmp_path)).collect()
+    assert sorted((r["file"], r["record"] or "", r["reason"]) for r in bad) == [
+        ("a.csv", "3,4,5", "too many fields"), ("a.csv", "9,9,9,9", "too many fields"),
+        ("b.csv", "1,2,3,4", "too many fields"), ("c.csv", "", "no header line"),
+    ]
+
+
+def test_next_known_over_many_groups(spark):
+    from signalsift.operators.clean import next_known
+
+    made = [(i, float(i) if i % 97 == 0 else None, float(i) if i == 4_000 else None) for i in range(5_000)]
+    found = next_known(spark.createDataFrame(made, "k long, a double, b double").repartition(7), "k", ["a", "b"]).collect()
+    for r in found:
+        onward = -(-r["k"] // 97) * 97
+        assert r["a"] == (float(onward) if onward < 5_000 else None)
+        assert r["b"] == (4_000.0 if r["k"] <= 4_000 else None)
+    assert len(found) == 5_000
+
+
+def test_moments_of_parts_give_the_whole(spark):
+    from signalsift.operators import investigate
+
+    random_rows = [(float((i * 37) % 101) if i % 9 else None, 1e9 + (i % 7), ((i * 13) % 100) / 100, int(i % 5 == 0)) for i in range(800)]
+    df = spark.createDataFrame(random_rows, "f double, g double, y_prob double, y_true int")
+    got = {(r["feature"], r["threshold"]): r for r in investigate.feature_contrasts(df, ["f", "g"], [0.3, 0.7, 2.0]).collect()}
+    assert set(t for _, t in got) == {0.3, 0.7}
+    import numpy as np
+
+    for k, name in enumerate("fg"):
+        for t in (0.3, 0.7):
+            high = [r[k] for r in random_rows if r[3] == 0 and r[2] >= t and r[k] is not None]
+            low = [r[k] for r in random_rows if r[3] == 0 and r[2] < t and r[k] is not None]
+            pooled = np.sqrt((np.var(high, ddof=1) + np.var(low, ddof=1)) / 2)
+            want = abs(np.mean(high) - np.mean(low)) / pooled
+            assert got[name, t]["effect_size"] == pytest.approx(want, rel=1e-6)
+            assert got[name, t]["n_high"] == sum(1 for r in random_rows if r[3] == 0 and r[2] >= t)
