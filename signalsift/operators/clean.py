@@ -11,6 +11,7 @@ from signalsift.config import telemetry as cfg
 from signalsift.functions.numeric import clip, finite, half_even, ratio
 from signalsift.operators.ordering import ROWS_PER_SLICE, attach, carry_forward
 from signalsift.operators.quantiles import exact_modes, exact_quantiles
+from signalsift.session import staged
 
 # --- clipping ----------------------------------------------------------------
 
@@ -121,6 +122,13 @@ def scenario_contains(df: DataFrame, text: str, scenario: str = "scenario_id") -
 
 # --- imputation --------------------------------------------------------------
 
+#: Why a column is filled the way it is.
+REASONS = {
+    "mode": "a setting that takes few values: the most frequent one",
+    "median": "a skewed figure: the middle one, which outliers do not move",
+    "ffill": "a reading that lasts until the next one: the last known one of the scenario",
+}
+
 
 def fill_values(df: DataFrame, strategy: Mapping[str, str] = cfg.IMPUTE) -> dict[str, float]:
     """Global mode and median of the columns that ask for one.
@@ -162,6 +170,30 @@ def fill_forward(
     return carry_forward(df, [scenario], order, present, rows_per_slice, known)
 
 
+def next_known(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Each missing value of ``columns`` → the next known one in the order of ``key``, which is unique.
+
+    A suffix scan in two passes over ranges of the key: a window inside each range, then the first
+    known values of the later ranges, one row per range, for what is still missing. So any number of
+    keys is many tasks, and what meets in one place is a row per range.
+    """
+    ranges = staged(
+        rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()), "ranges"
+    )
+    inside = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    filled = ranges.select(key, "__part", *[F.first(c, ignorenulls=True).over(inside).alias(c) for c in columns])
+    heads = ranges.groupBy("__part").agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(key))).alias(f"__n_{i}") for i, c in enumerate(columns)]
+    )
+    # One row per range, of which there are as many as shuffle partitions.
+    later = Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
+    carried = heads.select(
+        "__part", *[F.first(f"__n_{i}", ignorenulls=True).over(later).alias(f"__n_{i}") for i in range(len(columns))]
+    )
+    met = filled.join(F.broadcast(carried), "__part")
+    return met.select(key, *[F.coalesce(c, f"__n_{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def fill_backward(
     df: DataFrame,
     columns: Sequence[str],
@@ -184,11 +216,7 @@ def fill_backward(
     firsts = (df if known is None else known).groupBy(scenario).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__f_{c}") for c in present]
     )
-    # One row per scenario, not per sample.
-    onward = Window.orderBy(scenario).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    fills = firsts.select(
-        scenario, *[F.first(f"__f_{c}", ignorenulls=True).over(onward).alias(f"__f_{c}") for c in present]
-    )
+    fills = next_known(firsts, scenario, [f"__f_{c}" for c in present])
     names = [f"__f_{c}" for c in present]
     return (
         attach(df, fills, [scenario], names)
@@ -223,7 +251,7 @@ def imputation_stats(
     values: Mapping[str, float],
     strategy: Mapping[str, str] = cfg.IMPUTE,
 ) -> DataFrame:
-    """Per imputed column: nulls before, filled, method, fill value."""
+    """Per imputed column: nulls before, filled, method, fill value, and the reason of the method."""
     names = [c for c in strategy if c in before.columns]
     counted_before = null_counts(before, names).select("column", F.col("nulls").alias("nulls_before"))
     counted_after = null_counts(after, names).select("column", F.col("nulls").alias("nulls_after"))
@@ -231,6 +259,7 @@ def imputation_stats(
     shown = F.create_map(
         *[x for c in names for x in (F.lit(c), F.lit(float(values[c]) if c in values else None).cast("double"))]
     )
+    reason = F.create_map(*[F.lit(x) for c in names for x in (c, REASONS.get(strategy[c]))])
     return (
         counted_before.join(counted_after, "column")
         .filter("nulls_before > 0")
@@ -240,6 +269,7 @@ def imputation_stats(
             (F.col("nulls_before") - F.col("nulls_after")).alias("nulls_filled"),
             method[F.col("column")].alias("method"),
             shown[F.col("column")].alias("fill_value"),
+            reason[F.col("column")].alias("reason"),
         )
     )
 
