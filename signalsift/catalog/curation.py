@@ -59,6 +59,33 @@ def _(spark, folder):
     )
 
 
+_BROKEN = "CASE WHEN o_orderkey % 5 = 0 THEN 'long' WHEN o_orderkey % 7 = 0 THEN 'short' ELSE 'whole' END"
+
+
+@query(
+    "s1_quarantine",
+    f"""WITH made AS (SELECT o_orderkey, o_custkey, {_BROKEN} AS kind FROM orders)
+    SELECT CASE kind WHEN 'long' THEN 'too many fields' ELSE 'kept' END AS reason, count(*) AS n,
+      count(CASE WHEN kind = 'whole' THEN o_custkey END) AS with_customer, CAST(sum(o_orderkey) AS BIGINT) AS keys
+    FROM made GROUP BY 1""",
+)
+def _(spark, folder):
+    """A folder whose records have one field too many, one too few or all: kept and rejected ones are all of them."""
+    orders = load(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("c"))
+    key = F.col("k").cast("long")
+    line = F.when(key % 5 == 0, F.concat_ws(",", "k", "c", F.lit("x"))).when(key % 7 == 0, F.col("k")).otherwise(F.concat_ws(",", "k", "c"))
+    path = scratch(spark, "broken")
+    # Every file starts with its header line.
+    orders.select(line.alias("o_orderkey,o_custkey")).write.option("header", True).option("sep", "\u0001").csv(path)
+    kept = tables.read_csv(spark, path, "source_file").select(F.lit("kept").alias("reason"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    bad = tables.rejected_rows(spark, path)
+    bad = spark.read.schema(bad.schema).json(sinks.write_report(bad, scratch(spark, "rejected")))
+    bad = bad.select("reason", F.split_part("record", F.lit(","), F.lit(1)).alias("k"), F.lit(None).cast("string").alias("c"))
+    return kept.unionByName(bad).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"), F.count("c").alias("with_customer"), F.sum(F.col("k").cast("long")).alias("keys")
+    )
+
+
 @query(
     "s2_format_scan",
     "SELECT 'customer' AS source_file, count(*) AS rows FROM customer UNION ALL "
@@ -502,6 +529,20 @@ def _(spark, folder):
     return rounded(filled.select("row_id", *names))
 
 
+_NEXT = """SELECT o_custkey, first_value(low IGNORE NULLS) OVER onward AS low, first_value(high IGNORE NULLS) OVER onward AS high FROM (
+  SELECT o_custkey, min(CASE WHEN o_custkey % 7 = 0 THEN o_orderkey END) AS low, max(CASE WHEN o_custkey % 101 = 0 THEN o_orderkey END) AS high
+  FROM orders GROUP BY 1) c WINDOW onward AS (ORDER BY o_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+
+
+@query("n4_next_known_customers", _NEXT)
+def _(spark, folder):
+    """The fill between groups with very many groups, most of which have no value of their own."""
+    orders = load(spark, folder, "orders")
+    low = F.min(F.when(F.col("o_custkey") % 7 == 0, F.col("o_orderkey"))).alias("low")
+    high = F.max(F.when(F.col("o_custkey") % 101 == 0, F.col("o_orderkey"))).alias("high")
+    return clean.next_known(orders.groupBy("o_custkey").agg(low, high), "o_custkey", ["low", "high"])
+
+
 @query(
     "n5_imputation_stats",
     asked(
@@ -509,10 +550,10 @@ def _(spark, folder):
         " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", (SELECT count(*) FILTER ({c} IS NULL) FROM complete) AS nulls_before, "
             f"(SELECT count(*) FILTER ({c} IS NULL) FROM complete) - (SELECT count(*) FILTER ({c} IS NULL) FROM filled) AS nulls_filled, "
-            f"'{how}' AS method, {'CAST(NULL AS DOUBLE)' if how == 'ffill' else f'(SELECT CAST({c} AS DOUBLE) FROM fill)'} AS fill_value"
+            f"'{how}' AS method, {'CAST(NULL AS DOUBLE)' if how == 'ffill' else f'(SELECT CAST({c} AS DOUBLE) FROM fill)'} AS fill_value, '{clean.REASONS[how]}' AS reason"
             for c, how in cfg.IMPUTE.items()
         ),
-        ["fill_value"], ['"column"', "nulls_before", "nulls_filled", "method"],
+        ["fill_value"], ['"column"', "nulls_before", "nulls_filled", "method", "reason"],
     )
     + " WHERE nulls_before > 0",
 )

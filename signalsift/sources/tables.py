@@ -17,6 +17,7 @@ from signalsift.operators.combine import stack
 from signalsift.operators.schema import require_columns
 
 _EXTRA = "__extra_fields"
+_RECORD = "__record"
 _HEADER_READERS = 16
 
 
@@ -79,7 +80,7 @@ def read_csv(
 
     Spark maps the columns of all files of one read by position, so files are
     grouped by their header line, one read per header, and the reads are
-    stacked by name. Rows with too many fields are dropped, short rows are
+    stacked by name. Rows with too many fields are left to :func:`rejected_rows`, short rows are
     filled with NULL; nothing is inferred. A file that breaks off while it is read
     is an error, unless ``skip_corrupt`` asks for the part that can be read.
     """
@@ -114,6 +115,40 @@ def read_csv(
     return stack(parts)
 
 
+def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`read_csv` leaves out, as rows (file, record, reason): records with too many
+    fields, and the header lines of files that have nothing else to be read by.
+
+    ``record`` is the text of the record. Count it against the rows that were read, or write it to
+    a folder of its own (``sinks.write_report``); kept and rejected rows together are all records.
+    """
+    files = list_files(spark, path, ".csv")
+    with ThreadPoolExecutor(_HEADER_READERS) as pool:
+        headers = list(pool.map(lambda f: _header(spark, f), files))
+    parts = [
+        spark.createDataFrame(
+            [(f.rsplit("/", 1)[-1], None, "no header line") for f, h in zip(files, headers) if not h],
+            "file string, record string, reason string",
+        )
+    ]
+    groups: dict[int, list[str]] = {}
+    for file, header in zip(files, headers):
+        if header:
+            groups.setdefault(len(header), []).append(file)
+    for size, members in groups.items():
+        names = [*[f"__c{i}" for i in range(size)], _EXTRA, _RECORD]
+        rows = (
+            spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+            .options(header=True, mode="PERMISSIVE", enforceSchema=True, escape='"', columnNameOfCorruptRecord=_RECORD)
+            .csv(members)
+        )
+        # Fields beyond the extra one are told by the record alone, so all fields are read.
+        kept = rows.select("*", F.col("_metadata.file_name").alias("file")).where(F.col(_EXTRA).isNotNull())
+        record = F.coalesce(_RECORD, F.concat_ws(",", *names[:-1]))
+        parts.append(kept.select("file", record.alias("record"), F.lit("too many fields").alias("reason")))
+    return stack(parts)
+
+
 def read_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """Parquet files stacked by column name, with ``source_file``."""
     return spark.read.option("mergeSchema", True).parquet(*files).withColumn("source_file", _stem())
