@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,3 +67,13 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
     if held:
         table = pa.Table.from_batches(held)
         yield table, changes(table, keys)
+
+
+_cache: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Let go of what other operators know in this worker: stages run one after the other in the same workers."""
+    for name in [n for n in _cache if n != owner]:
+        _cache.pop(name)()
+    _cache[owner] = clear

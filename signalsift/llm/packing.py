@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalsift.llm.batches import slices, text_bytes
+from signalsift.llm.batches import slices, sole_cache, text_bytes
 from signalsift.llm.tokens import encoder
 from signalsift.session import staged
 
@@ -64,6 +64,7 @@ def _local(tokenizer: str, capacity: int, end_id: int):
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("tokens", encoder.cache_clear)
         encode = encoder(tokenizer).encode
         block = TaskContext.get().partitionId() << 12
         held: list[tuple] = []

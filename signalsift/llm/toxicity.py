@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalsift.llm.batches import slices, text_bytes
+from signalsift.llm.batches import slices, sole_cache, text_bytes
 
 #: Labelled documents that training reads at most, of each label: those with the smallest hash.
 TRAINING_TOXIC, TRAINING_CLEAN = 1000, 2000
@@ -371,6 +371,7 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def _scorer(shared, keep: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        sole_cache("toxicity", _known.cache_clear)
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
             top = np.full(batch.num_rows, model.lowest)
