@@ -1,9 +1,11 @@
 """Best-fit packing of token sequences, by tasks first and then up a tree.
 
-A task packs the pieces of its documents by best fit, largest first. Nearly full
-bins are final. Of the rest each block passes on those that can still be joined;
-neighbouring blocks meet, their bins are items of another best fit, and so on
-until one block is left. What travels is a bin's number and filling.
+The pieces of all documents are dealt to blocks by a hash of their place in the
+input, so that all blocks look alike in whatever order the table is, and a task
+packs a block by best fit, largest first. Nearly full bins are final. Of the rest
+each block passes on those that can still be joined; blocks meet, their bins are
+items of another best fit, and so on until one block is left. What travels up the
+tree is a bin's number and filling.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 
 from signalsift.llm.batches import slices, sole_cache, text_bytes
 from signalsift.llm.tokens import encoder
-from signalsift.session import staged
+from signalsift.session import released, staged
 
-#: Pieces that a task packs together.
+#: Pieces of a block, on average; a task packs a block at a time.
 BLOCK_PIECES = 100_000
 #: Blocks that meet in a round of the tree.
 FAN_IN = 8
@@ -57,41 +59,40 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, count
 
 
-def _local(tokenizer: str, capacity: int, end_id: int):
+def _cut(tokenizer: str, capacity: int, end_id: int):
     schema = pa.schema(
-        [("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-         ("block", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64())]
+        [("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("place", pa.int64())]
     )
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pieces of each text; ``place`` is the task and a running number."""
         sole_cache("tokens", encoder.cache_clear)
         encode = encoder(tokenizer).encode
-        block = TaskContext.get().partitionId() << 12
-        held: list[tuple] = []
-
-        def packed() -> pa.RecordBatch:
-            nonlocal block
-            names, pieces, starts, lengths, crcs = (list(c) for c in zip(*held))
-            bins, offsets, _ = best_fit(np.array(lengths), capacity)
-            out = [names, pieces, starts, lengths, crcs, np.full(len(held), block), (block << 18) + bins, offsets]
-            block += 1
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column("id").to_pylist()
             data, places = text_bytes(batch.column("text"))
             for first, stop in slices(places, _SLICE):
                 texts = [data[places[i] : places[i + 1]].tobytes() for i in range(first, stop)]
+                held: list[tuple] = []
                 for name, found in zip(ids[first:stop], encode(texts)):
                     whole = np.append(found, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(whole), capacity)):
                         part = whole[start : start + capacity]
-                        held.append((name, piece, start, len(part), zlib.crc32(part.tobytes())))
-                if len(held) >= BLOCK_PIECES:
-                    yield packed()
-        if held:
-            yield packed()
+                        held.append((name, piece, start, len(part), zlib.crc32(part.tobytes()), place))
+                        place += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    return cut
+
+
+def _local(capacity: int) -> Callable[[pa.Table], pa.Table]:
+    def pack(pieces: pa.Table) -> pa.Table:
+        """A block's pieces with their offsets and bins; of equal pieces the first in the input goes first."""
+        pieces = pieces.sort_by("place")
+        bins, offsets, _ = best_fit(pieces["length"].to_numpy(), capacity)
+        bins += pieces["block"][0].as_py() << 18
+        return pieces.drop_columns("place").append_column("offset", pa.array(offsets)).append_column("bin", pa.array(bins))
 
     return pack
 
@@ -128,13 +129,17 @@ def packed(
     A document is the tokenizer's ids of its text (null: empty) and ``end_id``;
     only longer ones are cut, into pieces of ``capacity``. An empty text is a
     piece of one id, repeated rows are packed each, an empty table gives no rows.
-    Other columns are not looked at.
+    Other columns are not looked at. Which of several pieces of one length goes
+    where is settled by their order in the input.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    schema = "id long, piece int, start long, length long, ids_crc32 long, block long, bin long, offset long"
-    pieces = staged(rows.mapInArrow(_local(tokenizer, capacity, end_id), schema), "pieces")
+    schema = "id long, piece int, start long, length long, ids_crc32 long"
+    cut = staged(rows.mapInArrow(_cut(tokenizer, capacity, end_id), f"{schema}, place long"), "cut")
+    blocks = max(1, -(-cut.count() // BLOCK_PIECES))
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)))
+    pieces = staged(dealt.groupBy("block").applyInArrow(_local(capacity), f"{schema}, block long, offset long, bin long"), "pieces")
+    released(cut)
     bins = pieces.groupBy("block", "bin").agg(F.sum("length").alias("filled"))
-    blocks = pieces.select("block").distinct().count()
     open_ = _passed_on(bins, capacity)
     moves: DataFrame | None = None
     shape = "block long, bin long, into long, shift long, filled long"

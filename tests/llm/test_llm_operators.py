@@ -132,7 +132,7 @@ def test_containment_empty(spark):
     assert contamination.contained(none, some).count() == contamination.contained(some, none).count() == 0
 
 
-def test_packing(docs, texts):
+def test_packing(docs, texts, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
     got = packing.packed(docs, path, capacity=512).collect()
@@ -158,6 +158,19 @@ def test_packing(docs, texts):
     alone = packing.best_fit(np.array([r["length"] for r in got]), 512)[2]
     assert -(-total // 512) <= len(by_bin) <= alone + 3
     assert packing.packed(docs.limit(0), path).count() == 0
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 10)
+    blocks = {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.packed(docs, path, capacity=512).collect()}
+    assert blocks == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in got}
+
+
+def test_packing_in_order_of_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 2000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = spark.range(6000, numPartitions=4).selectExpr("id doc_id", "trim(repeat('a ', if(id < 3000, 59, 39))) text")
+    got = packing.packed(rows, path, capacity=100)
+    filled = got.groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).collect()
+    assert sum(r["sum(length)"] for r in filled) == 300_000 and max(r["sum(length)"] for r in filled) <= 100
+    assert len(filled) <= 3030
 
 
 def test_best_fit():
