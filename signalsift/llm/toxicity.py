@@ -5,14 +5,18 @@ weighs ``DECAY`` for every character it skips, so that an insult with inserted o
 changed characters stays close to the plain one. It is normalised and works on
 units: the words of a text, without what is not a letter or a digit between letters;
 letters that stand alone (``i d i o t``) are joined first, long words are
-read in overlapping pieces. Landmarks are units of labelled sentences; the kernel
-values with them, whitened by the landmarks' own kernel matrix, are the features
-of a linear machine, trained with the squared hinge loss.
+read in overlapping pieces; neighbouring words are joined too where what stands
+on both sides of the gap stands together in a telling unit (``idi ot``).
+Landmarks are units of labelled sentences; the kernel values with them, whitened
+by the landmarks' own kernel matrix, are the features of a linear machine, trained
+with the squared hinge loss.
 
 Labels belong to documents, of which a toxic one holds at least one toxic
 sentence. So the units that are much more frequent in toxic documents stand for
 them, and in rounds the units of clean documents that look most toxic to the
-machine become its counter-examples. A document's score is that of its most toxic
+machine become its counter-examples. Copies of the telling units with one or two
+characters more inside are examples too, and the more telling a unit is, the
+larger the margin asked for. A document's score is that of its most toxic
 unit, turned into a probability by a logistic curve fitted on the same documents.
 
 With the landmarks fixed, the machine is one weight for each subsequence, so a unit
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -36,18 +40,24 @@ from signalsift.llm.batches import slices, sole_cache, text_bytes
 
 #: Labelled documents that training reads at most, of each label: those with the smallest hash.
 TRAINING_TOXIC, TRAINING_CLEAN = 1000, 2000
-LANDMARKS = 256
+LANDMARKS = 768
 ROUNDS = 4
-DECAY = 0.5
+DECAY = 0.7
 #: Weight of each class in the machine, against a ridge of 1.
-COST = 2000.0
+COST = 5000.0
 #: Weight of the varied units against the plain ones.
-VARIED = 0.5
+VARIED = 2.0
+#: Weight of the varied units against the toxic documents in the logistic curve.
+MISSPELT = 0.5
+#: Log odds of a witness that ask for a margin of 1; larger ones ask for more in proportion.
+EVIDENCE = 2.0
+#: Words meet by chance too, so only witnesses with this share of the largest log odds are looked for across gaps.
+SURE = 0.8
 UNIT = 20
 CACHE_WORDS = 600_000
 _SLICE = 2 << 20
 #: Distances of the second and third character from the one before.
-_STEPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 5]
+_STEPS = [(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if a + b <= 5]
 _SYMBOLS = 32
 _END, _START = 30, 31
 #: Characters written for letters (fixed values).
@@ -85,6 +95,15 @@ def units_of(word: str) -> list[bytes]:
     return [codes[i : i + UNIT] for i in range(0, len(codes) - UNIT // 2, UNIT // 2)]
 
 
+def _ends(word: str) -> tuple[int, int]:
+    """The first and the last two characters of a word with its marks, as numbers; 0 if it can be no part of a unit."""
+    codes = [c for c in map(_CODES.__getitem__, _LOOKS.sub(lambda m: LOOKALIKES[m[0]], word.lower())) if c]
+    if not 1 <= len(codes) <= UNIT - 3:
+        return 0, 0
+    first, last = [*codes[:2], _END][:2], [_START, *codes][-2:]
+    return first[0] * _SYMBOLS + first[1], last[0] * _SYMBOLS + last[1]
+
+
 def _words(text: str) -> list[str]:
     """Words between white space; runs of letters that stand alone are one word more."""
     found = text.split()
@@ -150,23 +169,27 @@ class _Known:
 
 
 def varied(unit: bytes, random: np.random.Generator) -> list[bytes]:
-    """The unit with another letter, and with a repeated one, at each place inside."""
+    """The unit with one letter more, a repeated one and two letters more, at each place inside."""
     out = []
     for i in range(2, len(unit) - 1):
-        out += [bytes((*unit[:i], int(c), *unit[i:]))[:UNIT] for c in (random.integers(1, 27), unit[i - 1])]
+        one, two, three = (int(c) for c in random.integers(1, 27, 3))
+        out += [bytes((*unit[:i], *more, *unit[i:]))[:UNIT] for more in ((one,), (unit[i - 1],), (two, three))]
     return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights (the last is the offset) of a linear machine with squared hinge loss, by Newton's method."""
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, need: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights (the last is the offset) of a linear machine with squared hinge loss, by Newton's method.
+
+    ``need`` is the margin from which on an example has no loss.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
     keep[-1] = 1e-3
     for _ in range(steps):
-        active = y * (x @ w) < 1
+        active = y * (x @ w) < need
         xa, ca = x[active], cost[active]
-        new = np.linalg.solve(np.diag(keep) + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ y[active])
+        new = np.linalg.solve(np.diag(keep) + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ (y * need)[active])
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -175,13 +198,14 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, step
 
 @dataclass
 class Model:
-    """Weights of subsequences, offset, slope and offset of the logistic curve."""
+    """Weights of subsequences, offset, slope and offset of the logistic curve; what stands together in sure witnesses."""
 
     weights: np.ndarray
     offset: float
     slope: float = 1.0
     shift: float = 0.0
     name: str = ""
+    inside: np.ndarray = field(default_factory=lambda: _inside(()))
 
     def margins(self, units: list[bytes]) -> np.ndarray:
         if not units:
@@ -192,36 +216,80 @@ class Model:
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
-    def word_margins(self, words: list[str]) -> np.ndarray:
-        """The margin of each word, its most toxic unit's; one without units has that of nothing said."""
+    def word_margins(self, words: list[str], counts: np.ndarray | None = None) -> np.ndarray:
+        """The margin of each word, its most toxic unit's; one without units has that of nothing said.
+
+        With ``counts``, the words of each text, a word also takes the margin of itself joined with the
+        next one of its text, if the characters on both sides of the gap stand together in a sure witness.
+        """
         known = _known(self.name)
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        get = known.get
-        found = np.fromiter((get(w, np.nan) for w in words), np.float64, len(words))
-        new = list({words[i] for i in np.flatnonzero(np.isnan(found))})
+        numbers = known.numbers(self, words)
+        margins = known.margin[numbers]
+        if counts is None or len(words) < 2:
+            return margins
+        near = self.inside[known.last[numbers[:-1]], known.first[numbers[1:]]]
+        ends = np.cumsum(counts)[:-1]
+        near[ends[(ends > 0) & (ends < len(words))] - 1] = False
+        at = np.flatnonzero(near)
+        if len(at):
+            joined = known.numbers(self, [words[i] + words[i + 1] for i in at])
+            margins[at] = np.maximum(margins[at], known.margin[joined])
+        return margins
+
+    @cached_property
+    def lowest(self) -> float:
+        return self.offset - float(np.abs(self.weights).max() + 1)
+
+
+class _Lexicon:
+    """A worker's words under a model: margins and ends, by number."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.margin, self.first, self.last = np.empty(0), np.empty(0, np.int16), np.empty(0, np.int16)
+
+    def numbers(self, model: Model, words: list[str]) -> np.ndarray:
+        if len(self.number) > CACHE_WORDS:
+            self.clear()
+        get = self.number.get
+        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        new = list(dict.fromkeys(words[i] for i in missing))
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             units = [units_of(w) for w in part]
-            margins = self.margins([u for us in units for u in us])
-            at = 0
-            for word, us in zip(part, units):
-                known[word] = max(margins[at : at + len(us)].tolist(), default=self.lowest)
+            margins = model.margins([u for us in units for u in us])
+            at, told = 0, []
+            for us in units:
+                told.append(max(margins[at : at + len(us)].tolist(), default=model.lowest))
                 at += len(us)
-        if new:
-            for i in np.flatnonzero(np.isnan(found)):
-                found[i] = known[words[i]]
+            first, last = zip(*map(_ends, part))
+            self.number.update(zip(part, range(len(self.margin), len(self.margin) + len(part))))
+            self.margin = np.concatenate([self.margin, told])
+            self.first = np.concatenate([self.first, np.array(first, np.int16)])
+            self.last = np.concatenate([self.last, np.array(last, np.int16)])
+        for i in missing:
+            found[i] = self.number[words[i]]
         return found
 
-    @cached_property
-    def lowest(self) -> float:
-        return self.offset - float(np.abs(self.weights).max() + 1)
-
 
 @lru_cache(4)
-def _known(name: str) -> dict[str, float]:
-    """A worker's words and their margins under a model."""
-    return {}
+def _known(name: str) -> _Lexicon:
+    """A worker's words under the model of this name."""
+    return _Lexicon()
+
+
+def _inside(units: Iterable[bytes]) -> np.ndarray:
+    """Which two characters with which two behind them stand in one of the units, marks included."""
+    out = np.zeros((_SYMBOLS**2, _SYMBOLS**2), bool)
+    for unit in units:
+        for i in range(len(unit) - 3):
+            a, b, c, d = unit[i : i + 4]
+            out[a * _SYMBOLS + b, c * _SYMBOLS + d] = True
+    return out
 
 
 def trained(bags: Iterable[tuple[int, list[str]]], prior: float) -> Model:
@@ -258,6 +326,8 @@ def trained(bags: Iterable[tuple[int, list[str]]], prior: float) -> Model:
     clean = np.bincount(unit[labels[bag] == 0], minlength=len(units))
     n_toxic, n_clean = len(np.unique(first[labels == 1])), int((labels == 0).sum())
     strength = toxic / n_toxic - 3 * clean / n_clean
+    # What says more of a label must be further from the other side.
+    odds = np.maximum(1, np.log((toxic + 0.5) * n_clean / ((clean + 0.5) * n_toxic)) / EVIDENCE)
     # The units that stand for toxicity: in several toxic documents, and ten times as often as in clean ones.
     witness = np.flatnonzero((toxic >= max(3, 0.01 * n_toxic)) & (clean * n_toxic * 10 <= toxic * n_clean))
     if not len(witness):
@@ -279,13 +349,14 @@ def trained(bags: Iterable[tuple[int, list[str]]], prior: float) -> Model:
 
     # Inserted and repeated characters are learned from varied witnesses.
     random = np.random.default_rng(11)
-    variants = [(v, toxic[u]) for u in witness for v in varied(units[u], random)]
-    variant_row, variant_key, variant_weight = features([v for v, _ in variants])
+    variants = [(v, toxic[u], odds[u]) for u in witness for v in varied(units[u], random)]
+    variant_row, variant_key, variant_weight = features([v for v, *_ in variants])
     varied_x = np.zeros((len(variants), project.shape[1]))
     for i in range(0, len(variant_row), 100_000):
         part = slice(i, i + 100_000)
         np.add.at(varied_x, variant_row[part], variant_weight[part, None] * project[variant_key[part]])
-    variant_cost = np.array([t for _, t in variants], np.float64)
+    variant_cost = np.array([t for _, t, _ in variants], np.float64)
+    variant_need = np.array([o for *_, o in variants], np.float64)
     scores = strength
     hard = common[:2000]
     for _ in range(ROUNDS):
@@ -300,13 +371,16 @@ def trained(bags: Iterable[tuple[int, list[str]]], prior: float) -> Model:
         cost = COST * np.concatenate([*shares, VARIED * variant_cost / max(1.0, variant_cost.sum())])
         parts = [dense(picked[i : i + 200]) @ project for i in range(0, len(picked), 200)]
         x = np.vstack([*parts, varied_x])
-        w = svm(x, y, cost)
+        w = svm(x, y, cost, np.concatenate([odds[witness], np.ones(len(against)), variant_need]))
         scores = scored(w)
-    model = Model((project @ w[:-1]).astype(np.float64), float(w[-1]))
+    model = Model((project @ w[:-1]).astype(np.float64), float(w[-1]), inside=_inside(units[u] for u in witness if odds[u] >= SURE * odds[witness].max()))
     top = np.full(len(held), model.lowest)
     np.maximum.at(top, bag, scores[unit])
     balance = np.where(labels == 1, prior / max(labels.mean(), 1e-9), (1 - prior) / max(1 - labels.mean(), 1e-9))
-    model.slope, model.shift = _logistic(np.clip(top, -5, 5), labels, balance)
+    # Varied witnesses are toxic texts too, so that the curve's middle lies below them.
+    told, weight = np.ones(len(variants)), MISSPELT * (labels * balance).sum() * variant_cost / max(1.0, variant_cost.sum())
+    margins = np.concatenate([top, varied_x @ w[:-1] + w[-1]])
+    model.slope, model.shift = _logistic(np.clip(margins, -5, 5), np.concatenate([labels, told]), np.concatenate([balance, weight]))
     model.name = f"{hash((model.weights.tobytes(), model.slope, model.shift)):x}"
     return model
 
@@ -340,6 +414,7 @@ def _trainer(prior: float):
         rows = ((b["toxic"][i].as_py(), b["words"][i].as_py()) for b in batches for i in range(b.num_rows))
         m = trained(rows, prior)
         row = {"weights": m.weights.tobytes(), "offset": float(m.offset), "slope": float(m.slope), "shift": float(m.shift), "name": m.name}
+        row["inside"] = np.packbits(m.inside).tobytes()
         yield pa.RecordBatch.from_pylist([row])
 
     return train
@@ -363,9 +438,12 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     prior = counts.get(1, 0) / total if total else 0.0
     # The sample has a bound, so one task trains on it; the driver sees the weights.
     bags = bags.repartition(1).sortWithinPartitions("id", "toxic", "words")
-    made = bags.mapInArrow(_trainer(prior), "weights binary, offset double, slope double, shift double, name string").first()
+    made = bags.mapInArrow(_trainer(prior), "weights binary, offset double, slope double, shift double, name string, inside binary").first()
     # Without a labelled document there may be no task at all.
-    return Model(np.frombuffer(made["weights"]), *made[1:]) if made else trained([], prior)
+    if not made:
+        return trained([], prior)
+    inside = np.unpackbits(np.frombuffer(made["inside"], np.uint8)).astype(bool).reshape(_SYMBOLS**2, _SYMBOLS**2)
+    return Model(np.frombuffer(made["weights"]), *made[1:5], inside)
 
 
 def _scorer(shared, keep: bool):
@@ -378,7 +456,7 @@ def _scorer(shared, keep: bool):
             for start, stop in slices(at, _SLICE):
                 found = [_words(data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")) for i in range(start, stop)]
                 counts = np.array([len(f) for f in found])
-                margins = model.word_margins([w for f in found for w in f])
+                margins = model.word_margins([w for f in found for w in f], counts)
                 some = np.flatnonzero(counts)
                 if len(some):
                     first = np.concatenate([[0], np.cumsum(counts[some])])[:-1]

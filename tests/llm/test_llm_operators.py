@@ -407,3 +407,49 @@ def test_toxicity(spark):
     assert [got[1000 + i] >= 0.5 for i in range(7)] == [True, True, True, False, False, False, True]
     none = toxicity.fitted(docs, labels.limit(0))
     assert {r["score"] < 0.5 for r in toxicity.marked(docs, none).collect()} == {True}
+
+
+def test_subsequence_kernel_by_enumeration():
+    units = [u for w in ("idiot", "mississippi", "abc", "x0rz9", "grumblefixing") for u in toxicity.units_of(w)]
+    row, key, weight = toxicity.features(units)
+    for k, unit in enumerate(units):
+        held: dict[int, float] = {}
+        for i in range(len(unit)):
+            for j in range(i + 1, len(unit)):
+                for m in range(j + 1, len(unit)):
+                    if m - i <= 5:
+                        name = (unit[i] * 32 + unit[j]) * 32 + unit[m]
+                        held[name] = held.get(name, 0) + toxicity.DECAY ** (m - i - 2)
+        norm = sum(v * v for v in held.values()) ** 0.5
+        got = dict(zip(key[row == k].tolist(), weight[row == k].tolist()))
+        assert got.keys() == held.keys() and all(abs(got[n] - v / norm) < 1e-12 for n, v in held.items())
+
+
+def test_toxicity_tolerates_insertions():
+    insults, r = ["grumblefix", "snotwart", "fuzzlebrain", "dimwit"], random.Random(5)
+    bags = []
+    for i in range(600):
+        w = words(i, 60) + ([insults[i % 4]] if i % 3 == 0 else [])
+        bags.append((int(i % 3 == 0), sorted(set(w))))
+    model = toxicity.trained(bags, 1 / 3)
+
+    def toxic(text: str) -> bool:
+        found = toxicity._words(text)
+        return bool(model.probability(model.word_margins(found, np.array([len(found)])).max()) >= 0.5)
+
+    kinds: dict[str, list[bool]] = {}
+    for w in insults:
+        for at in range(1, len(w)):
+            one, two = (("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))) for n in (1, 2))
+            for kind, more in (("letter", one), ("two letters", two), ("repeat", w[at]), ("space", " "), ("sign", r.choice("*-._"))):
+                kinds.setdefault(kind, []).append(toxic(f"abc {w[:at]}{more}{w[at:]} fgh"))
+    assert {k: np.mean(v) >= 0.9 for k, v in kinds.items()} == dict.fromkeys(kinds, True), {k: np.mean(v) for k, v in kinds.items()}
+    assert np.mean([toxic(" ".join(words(10_000 + i, 60))) for i in range(300)]) <= 0.01
+
+
+def test_toxicity_joins_no_words_of_different_texts():
+    model = toxicity.trained([(i % 2, ["snotwart" if i % 2 else "garden", *words(i, 20)]) for i in range(60)], 0.5)
+    apart = model.word_margins(["snot", "wart"], np.array([1, 1]))
+    assert model.word_margins(["snot", "wart"], np.array([2]))[0] > apart.max()
+    assert model.word_margins(["snot", "wart"], np.array([0, 1, 0, 1])).tolist() == apart.tolist()
+    assert model.word_margins([], np.array([0])).tolist() == []
