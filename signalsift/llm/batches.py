@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -74,6 +76,18 @@ _cache: dict[str, Callable[[], None]] = {}
 
 def sole_cache(owner: str, clear: Callable[[], None]) -> None:
     """Let go of what other operators know in this worker: stages run one after the other in the same workers."""
-    for name in [n for n in _cache if n != owner]:
+    others = [n for n in _cache if n != owner]
+    for name in others:
         _cache.pop(name)()
     _cache[owner] = clear
+    if others:
+        handed_back()
+
+
+def handed_back() -> None:
+    """Give memory that nothing uses back to the system, which the C library (if it is glibc) does not do by itself."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalsift.llm.batches import slices, sole_cache, text_bytes
+from signalsift.llm.batches import handed_back, slices, sole_cache, text_bytes
 
 #: Labelled documents that training reads at most, of each label: those with the smallest hash.
 TRAINING_TOXIC, TRAINING_CLEAN = 1000, 2000
@@ -182,14 +182,20 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, need: np.ndarray, ridge:
 
     ``need`` is the margin from which on an example has no loss.
     """
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
+    w = np.zeros(x.shape[1] + 1)
+    keep = np.full(len(w), ridge)
     keep[-1] = 1e-3
     for _ in range(steps):
-        active = y * (x @ w) < need
-        xa, ca = x[active], cost[active]
-        new = np.linalg.solve(np.diag(keep) + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ (y * need)[active])
+        curve, pull = np.diag(keep), np.zeros(len(w))
+        for at in range(0, len(x), 2000):
+            part = slice(at, at + 2000)
+            xa = np.hstack([x[part], np.ones((len(x[part]), 1))])
+            active = y[part] * (xa @ w) < need[part]
+            xa, ca = xa[active], cost[part][active]
+            weighed = (xa * ca[:, None]).T
+            curve += weighed @ xa
+            pull += weighed @ (y * need)[part][active]
+        new = np.linalg.solve(curve, pull)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -351,10 +357,10 @@ def trained(bags: Iterable[tuple[int, list[str]]], prior: float) -> Model:
     random = np.random.default_rng(11)
     variants = [(v, toxic[u], odds[u]) for u in witness for v in varied(units[u], random)]
     variant_row, variant_key, variant_weight = features([v for v, *_ in variants])
-    varied_x = np.zeros((len(variants), project.shape[1]))
-    for i in range(0, len(variant_row), 100_000):
-        part = slice(i, i + 100_000)
-        np.add.at(varied_x, variant_row[part], variant_weight[part, None] * project[variant_key[part]])
+    varied_x = np.zeros((len(variants), project.shape[1]), np.float32)
+    edges = np.searchsorted(variant_row, np.arange(len(variants) + 1))
+    for i, (start, stop) in enumerate(zip(edges[:-1], edges[1:])):
+        varied_x[i] = variant_weight[start:stop] @ project[variant_key[start:stop]]
     variant_cost = np.array([t for _, t, _ in variants], np.float64)
     variant_need = np.array([o for *_, o in variants], np.float64)
     scores = strength
@@ -415,6 +421,7 @@ def _trainer(prior: float):
         m = trained(rows, prior)
         row = {"weights": m.weights.tobytes(), "offset": float(m.offset), "slope": float(m.slope), "shift": float(m.shift), "name": m.name}
         row["inside"] = np.packbits(m.inside).tobytes()
+        handed_back()
         yield pa.RecordBatch.from_pylist([row])
 
     return train
