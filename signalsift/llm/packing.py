@@ -31,7 +31,7 @@ FAN_IN = 8
 #: Bins over half full that a block passes on, the emptiest first; of those up to
 #: half full best fit leaves one at most, which is always passed on.
 PASSED = 256
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
