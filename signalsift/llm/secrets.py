@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalsift.llm.batches import slices, text_bytes
+from signalsift.llm.batches import slices, sole_cache, text_bytes
 
 SHORTEST = 12
 #: Bytes before and after a candidate that are looked at.
@@ -355,6 +355,7 @@ def _trimmed(value: bytes) -> tuple[int, bytes]:
 def _scanner(shared, least: float, clean: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: Forest = shared.value
+        sole_cache("secrets", lambda: None)
         for batch in batches:
             column = batch.column("text")
             data, offsets = text_bytes(column)

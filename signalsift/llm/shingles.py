@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from signalsift.llm.batches import slices, text_bytes
+from signalsift.llm.batches import slices, sole_cache, text_bytes
 
 #: Bytes that are hashed at once; a longer text is one slice.
 SLICE_BYTES = 1 << 20
@@ -100,6 +100,7 @@ def hashed_shingles(words: np.ndarray, before: np.ndarray, size: int, whole: boo
 
 def shingled(column: pa.Array, size: int, inside: np.ndarray = SPACED, whole: bool = True) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Row number of each slice of a text column and, per row, the shingle hashes in order of the text."""
+    sole_cache("shingles", _powers.cache_clear)
     data, offsets = text_bytes(column)
     for start, stop in slices(offsets, SLICE_BYTES):
         low, high = offsets[start], offsets[stop]

@@ -8,21 +8,37 @@ per worker. The pieces' ids are joined by numpy for a whole batch of texts.
 from __future__ import annotations
 
 import json
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
+from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
-#: Pieces kept by a worker; beyond it, the oldest knowledge is forgotten at once.
-CACHE_PIECES = 1_000_000
+#: Pieces kept by a worker; beyond it, the ``KEPT_PIECES`` that were met most often stay.
+CACHE_PIECES = 500_000
+KEPT_PIECES = 200_000
+#: Words of pieces kept by a worker; beyond it, all are forgotten at once.
+CACHE_WORDS = 150_000
 
 #: Pieces of printable Latin characters have stable classes and no combining
 #: marks, so they are split here; all others by the tokenizer's own steps.
 _PLAIN = regex.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+")
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    """An array with at least so many places, grown by half at least."""
+    if size <= len(held):
+        return held
+    return np.concatenate([held, np.zeros(max(size - len(held), len(held) >> 1), held.dtype)])
+
+
 class WordEncoder:
     """Encodes by ``Tokenizer.encode(text, add_special_tokens=False)``, piece by piece.
 
@@ -37,50 +53,75 @@ class WordEncoder:
         self._split = regex.compile(steps[0]["pattern"]["Regex"])
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self._spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0x21, 0x250)) if _PLAIN.fullmatch(c)}
+        # The same model over words that are already spelled and have spaces between them.
+        self._by_words = Tokenizer(self._model)
+        self._by_words.pre_tokenizer = WhitespaceSplit()
         self._special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
-
-    def _forget(self) -> None:
         self._number: dict[bytes, int] = {}
-        self._words: dict[str, list[int]] = {}
-        self._ids = np.zeros(1 << 20, np.uint32)
-        self._ends = np.zeros(1 << 18, np.int64)
-        self._ends_used = 1
+        self._words: dict[str, bytes] = {}
+        self._ids = np.zeros(1 << 18, np.uint32)
+        self._ends = np.zeros(1 << 16, np.int64)
+        self._met = np.zeros(1 << 16, np.int64)
 
-    def _encoded(self, piece: bytes) -> list[int]:
-        """Ids of a piece: added tokens by the whole tokenizer, all else word by word by its model."""
-        if any(s in piece for s in self._special):
-            return self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        out: list[int] = []
+    def _forget(self) -> None:
+        """Keep the pieces that were met most often, numbered anew, and count from the start."""
+        known = len(self._number)
+        order = np.argsort(-self._met[:known], kind="stable")[:KEPT_PIECES]
+        stays = np.zeros(known, bool)
+        stays[order] = True
+        lengths = np.diff(self._ends[: known + 1])
+        ids = self._ids[: self._ends[known]][np.repeat(stays, lengths)]
+        # A dictionary is in the order in which it was filled, which is that of the numbers.
+        pieces = [p for p, stay in zip(self._number, stays.tolist()) if stay]
+        self._number = {p: i for i, p in enumerate(pieces)}
+        self._words = {}
+        self._ids = np.concatenate([ids, np.zeros(1 << 18, np.uint32)])
+        self._ends = np.zeros(len(pieces) + (1 << 16), np.int64)
+        np.cumsum(lengths[stays], out=self._ends[1 : len(pieces) + 1])
+        self._met = np.zeros(len(self._ends), np.int64)
+
+    def _encoded(self, piece: bytes) -> bytes:
+        """Ids of an odd piece: with added tokens by the whole tokenizer, else by its own steps."""
         text = piece.decode()
-        if _PLAIN.fullmatch(text):
-            words = self._split.findall(text.lower())
-            for word in words:
-                ids = self._words.get(word)
-                if ids is None:
-                    ids = self._words[word] = [t.id for t in self._model.tokenize(word.translate(self._spelling))]
-                out += ids
-            return out
+        if any(s in piece for s in self._special):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         text = self.tokenizer.normalizer.normalize_str(text)
-        for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-            out += [t.id for t in self._model.tokenize(word)]
-        return out
-
-    def _learn(self, piece: bytes) -> int:
-        number = self._number.get(piece)
-        if number is not None:
-            return number
-        ids = self._encoded(piece)
-        number, start = self._ends_used - 1, int(self._ends[self._ends_used - 1])
-        if self._ends_used == len(self._ends):
-            self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
-        while start + len(ids) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        self._ids[start : start + len(ids)] = ids
-        self._ends[self._ends_used] = start + len(ids)
-        self._ends_used += 1
-        self._number[piece] = number
-        return number
+        words = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        return b"".join(_packed(t.id for t in self._model.tokenize(word)) for word, _ in words)
+
+    def _split_plain(self, piece: bytes) -> list[str] | None:
+        """The words of a piece of plain characters."""
+        text = piece.decode()
+        if not _PLAIN.fullmatch(text) or any(s in piece for s in self._special):
+            return None
+        return self._split.findall(text.lower())
+
+    def _learn_words(self, words: list[str]) -> None:
+        """The model's ids of words, all in one text."""
+        if not words:
+            return
+        found = self._by_words.encode(" ".join(words).translate(self._spelling), add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))).tolist()
+        for word, start, stop in zip(words, [0, *ends], ends):
+            self._words[word] = ids[start:stop].tobytes()
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Number new, different pieces."""
+        split = [self._split_plain(p) for p in pieces]
+        if len(self._words) > CACHE_WORDS:
+            self._words = {}
+        new = dict.fromkeys(w for words in split for w in words or ())
+        self._learn_words([w for w in new if w not in self._words])
+        ids = [self._encoded(p) if w is None else b"".join(map(self._words.__getitem__, w)) for p, w in zip(pieces, split)]
+        known = len(self._number)
+        start = int(self._ends[known])
+        ends = start + np.cumsum([len(i) >> 2 for i in ids])
+        self._ids = _room(self._ids, int(ends[-1]))
+        self._ids[start : ends[-1]] = np.frombuffer(b"".join(ids), np.uint32)
+        self._ends, self._met = _room(self._ends, known + len(pieces) + 1), _room(self._met, known + len(pieces))
+        self._ends[known + 1 : known + len(pieces) + 1] = ends
+        self._number.update(zip(pieces, range(known, known + len(pieces))))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each UTF-8 text."""
@@ -95,8 +136,11 @@ class WordEncoder:
             pieces += found
         get = self._number.get
         numbers = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
-        for i in np.flatnonzero(numbers < 0):
-            numbers[i] = self._learn(pieces[i])
+        unknown = np.flatnonzero(numbers < 0).tolist()
+        if unknown:
+            self._learn(list(dict.fromkeys(pieces[i] for i in unknown)))
+            numbers[unknown] = [self._number[pieces[i]] for i in unknown]
+        self._met[: len(self._number)] += np.bincount(numbers, minlength=len(self._number))
         starts = self._ends[numbers]
         lengths = self._ends[numbers + 1] - starts
         ends = np.concatenate([[0], np.cumsum(lengths)])

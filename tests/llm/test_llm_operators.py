@@ -453,3 +453,24 @@ def test_toxicity_joins_no_words_of_different_texts():
     assert model.word_margins(["snot", "wart"], np.array([2]))[0] > apart.max()
     assert model.word_margins(["snot", "wart"], np.array([0, 1, 0, 1])).tolist() == apart.tolist()
     assert model.word_margins([], np.array([0])).tolist() == []
+
+
+def test_forgetful_encoder(monkeypatch):
+    """Ids do not depend on what a worker remembers; what it meets most often stays."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from signalsift.llm import tokens
+
+    for name, value in (("CACHE_PIECES", 40), ("KEPT_PIECES", 10), ("CACHE_WORDS", 5)):
+        monkeypatch.setattr(tokens, name, value)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encoder = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    odd = ["", "  ", "the The THE, the.", "don't stop-me 12345", "İstanbul été é", "日本 \U0001f600x", "<|endoftext|> a<|endoftext|>b", "z" * 3000]
+    texts = [f"{odd[i % len(odd)]} the word{i} and w{i % 7}rd{i // 3},x the" for i in range(120)]
+    for at in range(0, len(texts), 9):
+        part = texts[at : at + 9]
+        for text, ids in zip(part, encoder.encode([t.encode() for t in part])):
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(encoder._number) < 120
+    assert {b"the", b"and"} <= set(encoder._number)
