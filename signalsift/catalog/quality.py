@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from signalsift.catalog import sql as q
 from signalsift.catalog.curation import SUMMARY_SQL, summary
-from signalsift.catalog.registry import asked, query, rounded
+from signalsift.catalog.registry import asked, query, rounded, scratch
 from signalsift.catalog.windows import RESULT_DOUBLES, RESULT_OTHERS, event_counts, event_table, feature_rows, result_sql
 from signalsift.config import telemetry as cfg
-from signalsift.operators import combine, profile, rules
+from signalsift.operators import combine, profile, rules, sketches
 from signalsift.plans.surrogate import load, telemetry_events, telemetry_lineitem
 from signalsift.session import staged
 
@@ -488,6 +488,63 @@ def _(spark, folder):
     return profile.scenario_count(telemetry_events(spark, folder))
 
 
+_KEPT_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
+_PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+def _monthly(spark, folder):
+    """Line items with their month, and their sketches per month, stored in two steps as months arrive."""
+    lines = load(spark, folder, "lineitem").withColumn("month", F.trunc("l_shipdate", "month"))
+    path = scratch(spark, "sketches")
+    sketches.sketched(lines.where("l_shipdate < '1995-07-01'"), "month", _KEPT_COLUMNS).write.parquet(path)
+    arrived = sketches.new_parts(lines, "month", spark.read.parquet(path))
+    sketches.sketched(arrived, "month", _KEPT_COLUMNS).write.mode("append").parquet(path)
+    return lines, spark.read.parquet(path)
+
+
+@query(
+    "a7_merged_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(DISTINCT date_trunc('month', l_shipdate)) AS parts, count({c}) AS n,
+  count(*) - count({c}) AS nulls, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, true AS distinct_near FROM lineitem"""
+        for c in _KEPT_COLUMNS
+    ),
+)
+def _(spark, folder):
+    """The profile merged from monthly sketches; whether its distinct counts keep the promised error, by exact counts."""
+    lines, stored = _monthly(spark, folder)
+    parts = stored.groupBy("column").agg(F.count("*").alias("parts"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in _KEPT_COLUMNS])
+    exact = lines.select(F.inline(cells)).groupBy("column").agg(F.count_distinct("v").alias("exact"))
+    found = sketches.merged_profile(stored).join(parts, "column").join(exact, "column")
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.col("exact") * sketches.DISTINCT_ERROR
+    return found.select("column", "parts", "n", "nulls", "low", "high", near.alias("distinct_near"))
+
+
+@query(
+    "n2_sketched_quantiles",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS probability, count({c}) AS n, true AS rank_near FROM lineitem"
+        for c in _KEPT_COLUMNS
+        for p in _PROBABILITIES
+    ),
+)
+def _(spark, folder):
+    """Quantiles merged from monthly sketches; whether their exact ranks keep the promised error."""
+    lines, stored = _monthly(spark, folder)
+    told = sketches.merged_profile(stored, _PROBABILITIES).select(
+        "column", F.posexplode(F.arrays_zip(F.array(*map(F.lit, _PROBABILITIES)).alias("probability"), F.col("quantiles").alias("q")))
+    )
+    told = told.select("column", F.col("col.probability").alias("probability"), F.col("col.q").alias("q"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in _KEPT_COLUMNS])
+    # A column has a few quantiles, so this join is over a list of a row for each column and probability.
+    met = lines.select(F.inline(cells)).where("v is not null").join(F.broadcast(told), "column").groupBy("column", "probability")
+    ranks = met.agg(F.count("v").alias("n"), F.count_if(F.col("v") < F.col("q")).alias("below"), F.count_if(F.col("v") <= F.col("q")).alias("upto"))
+    low, high = (F.col("probability") + F.lit(e * sketches.RANK_ERROR) for e in (-1, 1))
+    near = (F.col("below") <= high * F.col("n")) & (F.col("upto") >= low * F.col("n"))
+    return ranks.select("column", "probability", "n", near.alias("rank_near"))
+
+
 @query(
     "a8_value_counts",
     asked(q.TELE, "SELECT scenario_id, count(*) AS n, count(*) / CAST((SELECT count(*) FROM tele) AS DOUBLE) AS share FROM tele GROUP BY 1", ["share"], ["scenario_id", "n"]),
