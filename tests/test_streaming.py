@@ -13,6 +13,7 @@ from signalsift.plans.curate import featurize
 from signalsift.plans.surrogate import EVENT_ORDER, telemetry_events
 from signalsift.session import staged
 from signalsift.streaming.curation import curate_stream
+from signalsift.streaming.late import account, accounted_windows
 from signalsift.streaming.scoring import alert_rate, alerts
 from signalsift.streaming.windows import delta_writer, stream_windows
 
@@ -139,3 +140,38 @@ def test_fill_values_carry_over(spark, ordered):
     values = clean.fill_values(ordered)
     assert set(values) == {"mcs_dl", "mcs_ul", "prb_dl", "prb_ul"}
     assert clean.fill_constants(ordered, values).filter("prb_dl IS NULL OR mcs_dl IS NULL").count() == 0
+
+
+def test_late_rows_are_told(spark, tmp_path, ordered):
+    """Kept and late rows are all rows; windows are those of the kept rows and never change."""
+    out = str(tmp_path / "out")
+    write = accounted_windows(out, 3600, 600, min_samples=1)
+    timed = ordered.withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = timed.agg(F.expr("timestamp_micros(unix_micros(min(ts)) div 2 + unix_micros(max(ts)) div 2)")).first()[0]
+    early = timed.where(F.col("ts") < F.lit(middle))
+    write(timed.where(F.col("ts") >= F.lit(middle)), 0)
+    first = rows(spark.read.parquet(f"{out}/windows/batch=0"))
+    write(early.unionByName(timed.limit(1).withColumn("ts", F.lit(None).cast("timestamp"))), 1)
+    write(early, 1)  # the batch is run again after a failure
+    write(timed.limit(0), 2)
+    got = account(spark, out).agg(F.sum("arrived"), F.sum("kept"), F.sum("late"), F.sum("timeless")).first()
+    assert got[0] == ordered.count() == got[1] + got[2] and got[2] > 0 and got[3] == 0
+    late = spark.read.parquet(f"{out}/late")
+    assert late.where("unix_micros(ts) >= watermark_us").count() == 0
+    assert rows(spark.read.parquet(f"{out}/windows/batch=0")) == first
+    windows = spark.read.parquet(f"{out}/windows").drop("batch")
+    kept = spark.read.parquet(f"{out}/kept").drop("batch")
+    mark = kept.agg(F.max(F.unix_micros("ts")) - 600_000_000).first()[0]
+    whole = event_windows(kept, "3600 seconds", "ts", min_samples=1)
+    whole = whole.where(F.unix_micros("window_start") + 3_600_000_000 <= mark)
+    assert rows(windows.select(*whole.columns)) == rows(whole) and whole.count() > 0
+
+
+def test_rows_without_time_and_empty_streams(spark, tmp_path, ordered):
+    out = str(tmp_path / "out")
+    write = accounted_windows(out, 3600, 600)
+    write(ordered.limit(0), 0)
+    write(ordered.limit(5).withColumn("ts", F.lit(None).cast("timestamp")), 1)
+    sums = [F.sum(c) for c in ("arrived", "kept", "late", "timeless")]
+    assert tuple(account(spark, out).agg(*sums).first()) == (5, 0, 0, 5)
+    assert spark.read.parquet(f"{out}/windows").count() == 0
