@@ -10,7 +10,7 @@ from signalsift.catalog import sql as q
 from signalsift.catalog.registry import asked, query, rounded, scratch
 from signalsift.catalog.windows import feature_rows
 from signalsift.config import telemetry as cfg
-from signalsift.operators import drift, folds, investigate, metrics, prep, threshold
+from signalsift.operators import contract, drift, folds, investigate, metrics, prep, threshold
 from signalsift.plans import report, train
 from signalsift.plans.surrogate import load, telemetry_events
 from signalsift.session import staged
@@ -94,6 +94,30 @@ def _(spark, folder):
     )
 
 
+_ORDERED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "m7_contract",
+    """WITH given AS (SELECT * FROM (VALUES (0, 'l_quantity'), (1, 'l_extendedprice'), (2, 'l_discount'), (3, 'l_tax')) AS v(position, feature)),
+    found AS (SELECT 'l_returnflag' AS source, CAST(l_returnflag AS VARCHAR) AS category FROM lineitem
+      UNION SELECT 'l_suppkey', CAST(l_suppkey AS VARCHAR) FROM lineitem),
+    placed AS (SELECT source, category, row_number() OVER (PARTITION BY source ORDER BY category) - 1 AS place,
+      row_number() OVER (ORDER BY source, category) + 3 AS position FROM found WHERE category IS NOT NULL)
+    SELECT CAST(position AS BIGINT) AS position, feature, feature AS source, CAST(NULL AS VARCHAR) AS category, 'moved' AS what FROM given
+    UNION ALL SELECT CAST(position AS BIGINT), 'ohe_' || source || '_' || CAST(place AS VARCHAR), source, category, NULL FROM placed""",
+)
+def _(spark, folder):
+    """The contract of a design matrix stored and loaded, and what is told of each feature if the numeric columns come in another order."""
+    lines = load(spark, folder, "lineitem")
+    coded = ["l_returnflag", "l_suppkey"]
+    path = contract.save_contract(contract.fitted_contract(lines, _ORDERED, coded), scratch(spark, "contract"))
+    stored = contract.load_contract(spark, path)
+    turned = contract.fitted_contract(lines, _ORDERED[::-1], coded)
+    told = contract.contract_differences(stored, turned)
+    return stored.join(told, "feature", "left").select("position", "feature", "source", "category", "what")
+
+
 @query(
     "m5_one_hot",
     f"""WITH {q.TELE}, names AS (SELECT scenario_id, row_number() OVER (ORDER BY scenario_id) - 1 AS i FROM (SELECT DISTINCT scenario_id FROM tele) d)
