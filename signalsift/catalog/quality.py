@@ -346,12 +346,15 @@ def _(spark, folder):
     return rounded(profile.column_profile(load(spark, folder, "lineitem")), 4)
 
 
-@query(
-    "g2_profile_orders",
-    asked("", _profile_sql("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"}), *_PROFILE, 4),
-)
+_ORDER_COLUMNS = {
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+}
+
+
+@query("g2_profile_orders", asked("", _profile_sql("orders", _ORDER_COLUMNS), *_PROFILE, 4))
 def _(spark, folder):
-    return rounded(profile.column_profile(load(spark, folder, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"]), 4)
+    return rounded(profile.column_profile(load(spark, folder, "orders")), 4)
 
 
 def _histogram_sql(source: str, columns: list[str], bins: int) -> str:
@@ -422,10 +425,16 @@ def _(spark, folder):
     return rounded(profile.correlations(telemetry_events(spark, folder)))
 
 
-@query("a10_correlation_lineitem", asked("", "SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r FROM lineitem", ["r"], ["a", "b"]))
+_LINE_NUMBERS = [c for c, kind in _LINE_COLUMNS.items() if kind in ("bigint", "int", "double")]
+
+
+@query(
+    "a10_correlation_lineitem",
+    asked("", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem" for a in _LINE_NUMBERS for b in _LINE_NUMBERS), ["r"], ["a", "b"]),
+)
 def _(spark, folder):
-    pairs = profile.correlations(load(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice"])
-    return rounded(pairs.filter((F.col("a") == "l_quantity") & (F.col("b") == "l_extendedprice")))
+    """The whole matrix of all numeric columns."""
+    return rounded(profile.correlations(load(spark, folder, "lineitem"), _LINE_NUMBERS))
 
 
 @query("g6_series_sample", asked(q.TELE, "SELECT row_id, ts_ns, sinr_db, rsrp_dbm FROM tele ORDER BY ts_ns, row_id LIMIT 1000", ["sinr_db", "rsrp_dbm"], ["row_id", "ts_ns"]))
