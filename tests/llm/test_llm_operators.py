@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +16,7 @@ from tokenizers import Tokenizer
 
 from signalsift.llm import chat, contamination, extraction, jaccard, packing, secrets, shards, toxicity, urls, vectors
 from signalsift.llm.components import components
+from signalsift.session import ensure_checkpoint_dir, staged, swept
 
 DOCS = "doc_id long, text string, lang string, n int, size string, score string, findings string"
 
@@ -84,6 +88,47 @@ def test_jaccard_empty(docs):
     assert jaccard.joined(docs.limit(0)).count() == 0
 
 
+def test_jaccard_disk(spark, monkeypatch):
+    """A step leaves no shuffle files to the next one, even if the driver's collector never runs, and first shingles are not stored again and again."""
+    line = " ".join(words(1, 12))
+    rows = [(k, " ".join(words(k, 1500)) + " " + line) for k in range(300)]
+    rows += [(1000 + k, edited(rows[k][1], k, 3)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = Path(urlparse(ensure_checkpoint_dir(spark)).path)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def stored() -> int:
+        return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+    def shuffled() -> set[str]:
+        files = blocks.getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    swept(spark)
+    time.sleep(2)
+    left, held, before, seen = [], {}, stored(), shuffled()
+
+    def watched(df, what="stage"):
+        out = staged(df, what)
+        held[what] = max(held.get(what, 0), stored() - before)
+        end = time.time() + 5
+        while shuffled() - seen and time.time() < end:
+            time.sleep(0.05)
+        left.append((what, len(shuffled() - seen)))
+        seen.update(shuffled())
+        if what == "classes":
+            held["one"] = sum(p.stat().st_size for p in Path(urlparse(out.staged_path).path).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", watched)
+    monkeypatch.setattr(jaccard, "swept", lambda spark: None)
+    got = {r[0]: r[2] for r in jaccard.joined(docs).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert [x for x in left if x[1]] == []
+    one = held.pop("one")
+    assert max(held.values()) < 3 * one, (one, held)
+
+
 def test_components(spark):
     r = random.Random(3)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5), (None, 3)]
