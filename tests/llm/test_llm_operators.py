@@ -12,6 +12,7 @@ from urllib.parse import urlparse
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from signalsift.llm import chat, contamination, extraction, jaccard, packing, secrets, shards, toxicity, urls, vectors
@@ -88,6 +89,14 @@ def test_jaccard_empty(docs):
     assert jaccard.joined(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80), (2, 50)])
+def test_jaccard_known(spark, size, percent):
+    like = jaccard.Similarity(size, percent)
+    rows = spark.createDataFrame([(n, " ".join(f"w{k}" for k in range(n))) for n in range(1, 120)], "id long, text string")
+    sketches = rows.mapInArrow(jaccard._sketcher(like), jaccard.SKETCH)
+    assert sketches.where(F.size("firsts") != F.least(like.known_of(F.col("n")), F.col("n"))).count() == 0
+
+
 def test_jaccard_disk(spark, monkeypatch):
     """A step leaves no shuffle files to the next one, even if the driver's collector never runs, and first shingles are not stored again and again."""
     line = " ".join(words(1, 12))
