@@ -56,6 +56,8 @@ SURE = 0.8
 UNIT = 20
 CACHE_WORDS = 600_000
 _SLICE = 2 << 20
+#: Subsequences that are projected together.
+_BLOCK = 2048
 #: Distances of the second and third character from the one before.
 _STEPS = [(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if a + b <= 5]
 _SYMBOLS = 32
@@ -282,7 +284,7 @@ class _Lexicon:
         return found
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _known(name: str) -> _Lexicon:
     """A worker's words under the model of this name."""
     return _Lexicon()
@@ -350,8 +352,14 @@ def trained(bags: Iterable[tuple[int, list[str]]], prior: float) -> Model:
     whiten = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
     project = basis.T @ whiten  # features of a unit: its subsequences times this
 
+    del basis, values, vectors
+
+    def table(w: np.ndarray) -> np.ndarray:
+        # In blocks, as all of the projection in double precision takes 200 MB.
+        return np.concatenate([project[i : i + _BLOCK] @ w[:-1] for i in range(0, len(project), _BLOCK)])
+
     def scored(w: np.ndarray) -> np.ndarray:
-        return known.scored(project @ w[:-1]) + w[-1]
+        return known.scored(table(w)) + w[-1]
 
     # Inserted and repeated characters are learned from varied witnesses.
     random = np.random.default_rng(11)
@@ -379,7 +387,7 @@ def trained(bags: Iterable[tuple[int, list[str]]], prior: float) -> Model:
         x = np.vstack([*parts, varied_x])
         w = svm(x, y, cost, np.concatenate([odds[witness], np.ones(len(against)), variant_need]))
         scores = scored(w)
-    model = Model((project @ w[:-1]).astype(np.float64), float(w[-1]), inside=_inside(units[u] for u in witness if odds[u] >= SURE * odds[witness].max()))
+    model = Model(table(w).astype(np.float64), float(w[-1]), inside=_inside(units[u] for u in witness if odds[u] >= SURE * odds[witness].max()))
     top = np.full(len(held), model.lowest)
     np.maximum.at(top, bag, scores[unit])
     balance = np.where(labels == 1, prior / max(labels.mean(), 1e-9), (1 - prior) / max(1 - labels.mean(), 1e-9))
@@ -407,7 +415,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[float, fl
     return float(b[0]), float(b[1])
 
 
+def _made_room() -> None:
+    """Before training: let go of what the worker knows from other operators and earlier models."""
+    sole_cache("training", lambda: None)
+
+
 def _bagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _made_room()
     for batch in batches:
         words = [sorted(set(_words(t or ""))) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -417,6 +431,7 @@ def _bagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trainer(prior: float):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _made_room()
         rows = ((b["toxic"][i].as_py(), b["words"][i].as_py()) for b in batches for i in range(b.num_rows))
         m = trained(rows, prior)
         row = {"weights": m.weights.tobytes(), "offset": float(m.offset), "slope": float(m.slope), "shift": float(m.shift), "name": m.name}

@@ -528,3 +528,30 @@ def test_forgetful_encoder(monkeypatch):
             assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
     assert len(encoder._number) < 120
     assert {b"the", b"and"} <= set(encoder._number)
+
+
+def test_training_lets_go_of_other_operators(monkeypatch):
+    """Tasks that prepare or train a model first free what the worker keeps for other operators and for earlier models."""
+    from signalsift.llm import batches, toxicity
+
+    for task in (toxicity._bagger, toxicity._trainer(0.5)):
+        freed = []
+        monkeypatch.setattr(batches, "_cache", {"tokens": lambda: freed.append("tokens"), "toxicity": lambda: freed.append("toxicity")})
+        list(task(iter([])))
+        assert freed == ["tokens", "toxicity"]
+
+
+def test_training_memory():
+    """The projection of the subsequences (100 MB at most) is never held in double precision as a whole."""
+    import tracemalloc
+
+    from signalsift.llm import toxicity
+
+    random.seed(5)
+    words = ["".join(random.choices("abcdefghijklmnopqrst", k=8)) for _ in range(3000)]
+    bags = [(i % 2, [*words[7 * i : 7 * i + 7], "snotwart" if i % 2 else "garden"]) for i in range(400)]
+    tracemalloc.start()
+    toxicity.trained(bags, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 290e6, peak
