@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections import defaultdict
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: Pieces kept by a worker; beyond it, the ``KEPT_PIECES`` that were met most often stay.
 CACHE_PIECES = 500_000
@@ -23,9 +25,11 @@ KEPT_PIECES = 200_000
 #: Words of pieces kept by a worker; beyond it, all are forgotten at once.
 CACHE_WORDS = 150_000
 
-#: Pieces of printable Latin characters have stable classes and no combining
+#: Pieces of these printable Latin characters have stable classes and no combining
 #: marks, so they are split here; all others by the tokenizer's own steps.
-_PLAIN = regex.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+")
+_PLAIN = "\x21-\x7e\u00a1-\u012f\u0131-\u024f"
+#: Stands behind the ids of a piece; no id of a vocabulary.
+_END = np.uint32(0xFFFFFFFF)
 
 
 def _packed(ids: Iterable[int]) -> bytes:
@@ -50,14 +54,14 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self._model = self.tokenizer.model
         steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
-        self._split = regex.compile(steps[0]["pattern"]["Regex"])
+        # Words of many pieces with line ends between them.
+        self._split = regex.compile(f"{steps[0]['pattern']['Regex']}|\n")
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self._spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0x21, 0x250)) if _PLAIN.fullmatch(c)}
-        # The same model over words that are already spelled and have spaces between them.
-        self._by_words = Tokenizer(self._model)
-        self._by_words.pre_tokenizer = WhitespaceSplit()
+        self._spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0x21, 0x250)) if regex.fullmatch(f"[{_PLAIN}]", c)}
         self._special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._number: dict[bytes, int] = {}
+        # From the first thing in a piece that is not plain to the piece's end.
+        self._odd = regex.compile("(?:%s)[^\n]*" % "|".join([f"[^{_PLAIN}\n]", *(regex.escape(s.decode()) for s in self._special)]))
+        self._number: dict[bytes, int] = defaultdict(count().__next__)
         self._words: dict[str, bytes] = {}
         self._ids = np.zeros(1 << 18, np.uint32)
         self._ends = np.zeros(1 << 16, np.int64)
@@ -73,7 +77,7 @@ class WordEncoder:
         ids = self._ids[: self._ends[known]][np.repeat(stays, lengths)]
         # A dictionary is in the order in which it was filled, which is that of the numbers.
         pieces = [p for p, stay in zip(self._number, stays.tolist()) if stay]
-        self._number = {p: i for i, p in enumerate(pieces)}
+        self._number = defaultdict(count(len(pieces)).__next__, zip(pieces, range(len(pieces))))
         self._words = {}
         self._ids = np.concatenate([ids, np.zeros(1 << 18, np.uint32)])
         self._ends = np.zeros(len(pieces) + (1 << 16), np.int64)
@@ -89,39 +93,45 @@ class WordEncoder:
         words = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         return b"".join(_packed(t.id for t in self._model.tokenize(word)) for word, _ in words)
 
-    def _split_plain(self, piece: bytes) -> list[str] | None:
-        """The words of a piece of plain characters."""
-        text = piece.decode()
-        if not _PLAIN.fullmatch(text) or any(s in piece for s in self._special):
-            return None
-        return self._split.findall(text.lower())
-
     def _learn_words(self, words: list[str]) -> None:
-        """The model's ids of words, all in one text."""
-        if not words:
-            return
-        found = self._by_words.encode(" ".join(words).translate(self._spelling), add_special_tokens=False)
-        ids = np.array(found.ids, np.uint32)
-        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))).tolist()
-        for word, start, stop in zip(words, [0, *ends], ends):
-            self._words[word] = ids[start:stop].tobytes()
+        """The model's ids of words, each different one once."""
+        spelled = " ".join(words).translate(self._spelling).split(" ") if words else ()
+        for word, found in zip(words, map(self._model.tokenize, spelled)):
+            self._words[word] = _packed([t.id for t in found])
 
     def _learn(self, pieces: list[bytes]) -> None:
-        """Number new, different pieces."""
-        split = [self._split_plain(p) for p in pieces]
+        """The ids of new, different pieces, which have the next numbers."""
+        text = b"\n".join(pieces).decode()
+        odd: dict[int, bytes] = {}
+        found = [m.start() for m in self._odd.finditer(text)]
+        if found:
+            texts = text.split("\n")
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            for i in np.searchsorted(ends, found, "right").tolist():
+                odd[i] = self._encoded(pieces[i])
+                texts[i] = ""
+            text = "\n".join(texts)
         if len(self._words) > CACHE_WORDS:
             self._words = {}
-        new = dict.fromkeys(w for words in split for w in words or ())
-        self._learn_words([w for w in new if w not in self._words])
-        ids = [self._encoded(p) if w is None else b"".join(map(self._words.__getitem__, w)) for p, w in zip(pieces, split)]
-        known = len(self._number)
+        self._words["\n"] = _END.tobytes()
+        # In lower case, which the normaliser would make as well.
+        words = self._split.findall(text.lower())
+        self._learn_words([w for w in dict.fromkeys(words) if w not in self._words])
+        ids = np.frombuffer(b"".join(map(self._words.__getitem__, words)) + _END.tobytes(), np.uint32)
+        ends = np.flatnonzero(ids == _END)
+        sizes = np.diff(ends, prepend=-1) - 1
+        ids = ids[ids != _END]
+        if odd:
+            at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            ids = np.concatenate([np.frombuffer(odd[i], np.uint32) if i in odd else ids[at[i] : at[i + 1]] for i in range(len(pieces))])
+            for i, own in odd.items():
+                sizes[i] = len(own) >> 2
+        known = len(self._number) - len(pieces)
         start = int(self._ends[known])
-        ends = start + np.cumsum([len(i) >> 2 for i in ids])
-        self._ids = _room(self._ids, int(ends[-1]))
-        self._ids[start : ends[-1]] = np.frombuffer(b"".join(ids), np.uint32)
+        self._ids = _room(self._ids, start + len(ids))
+        self._ids[start : start + len(ids)] = ids
         self._ends, self._met = _room(self._ends, known + len(pieces) + 1), _room(self._met, known + len(pieces))
-        self._ends[known + 1 : known + len(pieces) + 1] = ends
-        self._number.update(zip(pieces, range(known, known + len(pieces))))
+        self._ends[known + 1 : known + len(pieces) + 1] = start + np.cumsum(sizes)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each UTF-8 text."""
@@ -134,12 +144,11 @@ class WordEncoder:
             found = (text if b"<|" in text else text.lower()).split()
             counts[i] = len(found)
             pieces += found
-        get = self._number.get
-        numbers = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
-        unknown = np.flatnonzero(numbers < 0).tolist()
-        if unknown:
-            self._learn(list(dict.fromkeys(pieces[i] for i in unknown)))
-            numbers[unknown] = [self._number[pieces[i]] for i in unknown]
+        # A piece that is not known gets the next number.
+        known = len(self._number)
+        numbers = np.fromiter(map(self._number.__getitem__, pieces), np.int64, len(pieces))
+        if len(self._number) > known:
+            self._learn(list(islice(self._number, known, None)))
         self._met[: len(self._number)] += np.bincount(numbers, minlength=len(self._number))
         starts = self._ends[numbers]
         lengths = self._ends[numbers + 1] - starts

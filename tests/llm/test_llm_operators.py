@@ -555,3 +555,27 @@ def test_training_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 290e6, peak
+
+
+def test_new_pieces_are_split_together():
+    """Many new pieces take one call of the pattern, odd ones between them their own steps; the ids are the tokenizer's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from signalsift.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encoder = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    calls = []
+
+    class Counted:
+        def findall(self, text, pattern=encoder._split):
+            calls.append(text)
+            return pattern.findall(text)
+
+    encoder._split = Counted()
+    odd = ["日本", "İx", "a<|endoftext|>B", "ét́", " ", "x y", "##.%%%", "don't", "Ünö", "it's'll'd", "\u0001", "5.5,"]
+    texts = [" ".join(f"w{a}{i}q {w}{i % 5} {w}" for a, w in zip("bcdefghijklm", odd)) for i in range(60)] + ["", " ", "日"]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(calls) <= 2
