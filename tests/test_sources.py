@@ -286,6 +286,21 @@ def test_next_known_over_many_groups(spark):
     assert len(found) == 5_000
 
 
+def test_next_known_reads_a_range_once(spark):
+    """A frame that starts at its row and has no end is read again for every row."""
+    from signalsift.operators.clean import next_known
+
+    k = F.col("id")
+    made = spark.range(300_000).select(
+        F.when(k > 0, k).alias("k"), F.when(k % 70_000 == 1, k).alias("a"), F.when(k == 0, k).alias("b")
+    )
+    found = next_known(made, "k", ["a", "b"])
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    onward = F.ceil((F.coalesce("k", F.lit(0)) - 1) / 70_000) * 70_000 + 1
+    wrong = found.where(~F.col("a").eqNullSafe(F.when(onward < 300_000, onward)) | ~F.col("b").eqNullSafe(F.when(F.col("k").isNull(), F.lit(0))))
+    assert found.count() == 300_000 and wrong.isEmpty()
+
+
 def test_moments_of_parts_give_the_whole(spark):
     from signalsift.operators import investigate
 
